@@ -15,6 +15,32 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"))
 
 
+def op1_language(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    import public_tokenizers
+    from inkwell.llm.langid import identify
+
+    return identify(read_table(spark, sf_dir, "documents"), vocabulary or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm.linecrf import quality_scores
+
+    return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op5_qgrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm.qgrams import find_leaks
+
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op4_repair(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    import public_tokenizers
+    from inkwell.llm.repair import token_output
+
+    return token_output(read_table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkwell.llm.mixing import mixing_report
 
@@ -27,6 +53,12 @@ def op7_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op8_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm.pii import find_personal
+
+    return find_personal(read_table(spark, sf_dir, "documents"))
+
+
 def op10_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkwell.llm.sketch import fingerprint_documents
 
@@ -34,9 +66,14 @@ def op10_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
     "op2_simhash": op2_simhash,
+    "op3_line_crf": op3_line_crf,
+    "op5_qgrams": op5_qgrams,
+    "op4_repair": op4_repair,
     "op6_mixing": op6_mixing,
     "op7_ring": op7_ring,
+    "op8_skip_chain": op8_skip_chain,
     "op10_bottom_k": op10_bottom_k,
 }
 ORACLES: dict[str, str] = {}
