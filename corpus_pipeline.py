@@ -2,10 +2,56 @@
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from inkwell.llm.linecrf import quality_scores
+from inkwell.llm.mixing import mix
+from inkwell.llm.qgrams import decontaminate
+from inkwell.llm.repair import token_output
+from inkwell.llm.shared import cut, read_table
+from inkwell.llm.simhash import near_duplicates
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A path to the tokenizer of the last stage; its files are never part of the repository.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line CRF doesn't reject; rows without a text go with the empty ones."""
+    scores = quality_scores(docs, read_table(spark, sf_dir, "labels"), keep=docs.columns)
+    return scores.where("predicted = 1").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates: the one with the least doc_id."""
+    classes = near_duplicates(docs)
+    keep = cut(classes.where("doc_id = component_id or doc_id is null").select("doc_id").distinct(), "keep")
+    return docs.join(keep.withColumnRenamed("doc_id", "__keep"), docs["doc_id"].eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mix(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the mixed corpus, as read back."""
+    return token_output(docs, TOKENIZER)
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminated), ("mix", mixed), ("tokens", tokens)]
+#: Learnt models and fingerprints over XXH64 have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written as Parquet and read again."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

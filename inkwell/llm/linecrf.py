@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Labelled documents that the model is fitted on, at most (about).
 SAMPLE = 3000
@@ -226,12 +227,13 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LineCRF
     return model
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, keep: list[str] | None = None) -> DataFrame:
     """(doc_id, held_out, score, predicted) of docs (doc_id, text) by labels (doc_id, quality).
 
     score is P(quality = 1) of the whole text, from its lines only; predicted is 1 from `threshold` on. Held out of
     learning: crc32 of doc_id mod 5 is 0. Null texts count as empty. A doc_id with labels that differ isn't learnt
     from; with labels of one kind only, or none, every score is 1. A row per input row; null ids are never held out.
+    With `keep`, those columns of docs come first, and score and predicted alone follow.
     """
     model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels))
 
@@ -239,9 +241,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 some = batch.slice(at, 1000)
-                texts = [x or b"" for x in some.column(2).to_pylist()]
+                texts = [(x or "").encode() for x in some.column(text_at).to_pylist()]
                 score = model.value.score(texts) if model.value else np.ones(len(texts))
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
-
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("binary").alias("text"))
-    return narrow.mapInArrow(step, "doc_id long, held_out boolean, score double, predicted int")
+                yield pa.RecordBatch.from_arrays([*some.columns[:first], pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=names)
+
+    if keep is None:
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
+        first, text_at = 2, 2
+    else:
+        rows = docs.select(*keep)
+        first, text_at = len(keep), keep.index("text")
+    fields = [*rows.schema.fields[:first], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
+    names = [f.name for f in fields]
+    return rows.mapInArrow(step, T.StructType(fields))

@@ -59,6 +59,12 @@ def op8_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal(read_table(spark, sf_dir, "documents"))
 
 
+def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm.linechunks import line_report
+
+    return line_report(read_table(spark, sf_dir, "documents"))
+
+
 def op10_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkwell.llm.sketch import fingerprint_documents
 
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_ring": op7_ring,
     "op8_skip_chain": op8_skip_chain,
+    "op9_line_chunks": op9_line_chunks,
     "op10_bottom_k": op10_bottom_k,
 }
 ORACLES: dict[str, str] = {}
