@@ -141,20 +141,17 @@ def forest(words: np.ndarray, first: np.ndarray, second: np.ndarray, radius: int
         if not found:
             continue
         hits = np.concatenate(found)
-        for other in np.unique(label[hits]):
-            mine = label[q]
+        _, one = np.unique(label[hits], return_index=True)
+        for near in hits[one].tolist():
+            other, mine = int(label[near]), int(label[q])
             if other == mine:
                 continue
-            near = hits[label[hits] == other][0]
-            links.append((int(q), int(near)))
-            a, b = members.pop(int(other), [int(other)]), members.pop(int(mine), [int(mine)])
+            links.append((int(q), near))
+            a, b = members.pop(other, [other]), members.pop(mine, [mine])
             if len(a) < len(b):
-                a, b, mine = b, a, other
-                target = label[a[0]]
-            else:
-                target = other
-            label[b] = target
-            members[int(target)] = a + b
+                a, b, other = b, a, mine
+            label[b] = other
+            members[other] = a + b
     return links
 
 
