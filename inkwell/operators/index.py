@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from inkwell.functions.text import tokens
+from inkwell.functions.text import tokens, words
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +26,12 @@ def doc_lengths(postings: DataFrame) -> DataFrame:
     return postings.groupBy("doc_id").agg(F.sum("tf").cast("long").alias("dl"))
 
 
+def text_lengths(docs: DataFrame) -> DataFrame:
+    """Document lengths from texts: no postings are shuffled for them. Documents without a token have none."""
+    rows = docs.select("doc_id", F.size(words(F.col("text"))).alias("n")).where("n > 0")
+    return rows.groupBy("doc_id").agg(F.sum("n").cast("long").alias("dl"))
+
+
 def term_stats(postings: DataFrame) -> DataFrame:
     stats = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("cf"), F.max("tf").alias("max_tf"))
     return stats.withColumn("term_len", F.length("term"))
@@ -54,8 +60,8 @@ class Index:
     stats: DataFrame
 
     @classmethod
-    def of(cls, postings: DataFrame) -> Index:
-        docs, terms = doc_lengths(postings), term_stats(postings)
+    def of(cls, postings: DataFrame, docs: DataFrame | None = None) -> Index:
+        docs, terms = doc_lengths(postings) if docs is None else docs, term_stats(postings)
         return cls(postings, docs, terms, collection_stats(terms, docs))
 
     @classmethod
@@ -64,15 +70,15 @@ class Index:
         if method not in ("bsbi", "spimi"):
             raise ValueError(f"unknown index method {method}")
         postings = postings_of(docs)
-        return cls.of(postings) if path is None else cls.store(postings, path)
+        return cls.of(postings, text_lengths(docs)) if path is None else cls.store(postings, path, text_lengths(docs))
 
     @classmethod
-    def store(cls, postings: DataFrame, path: str) -> Index:
+    def store(cls, postings: DataFrame, path: str, docs: DataFrame | None = None) -> Index:
         """Write postings in ranges of (term, doc_id), so a frequent term is several files' work, then their statistics."""
         spark = postings.sparkSession
         postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
         postings = spark.read.parquet(f"{path}/postings")
-        doc_lengths(postings).write.mode("overwrite").parquet(f"{path}/docs")
+        (doc_lengths(postings) if docs is None else docs).write.mode("overwrite").parquet(f"{path}/docs")
         # parts are ranges by term already, so its statistics are sorted by a small shuffle
         term_stats(postings).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
         docs, terms = spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/terms")

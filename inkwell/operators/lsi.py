@@ -6,9 +6,11 @@ vectors as well, so nothing on the driver grows with the terms or documents: it
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from inkwell.functions.text import query_terms
 from inkwell.functions.vectors import dot, norm, unit
 from inkwell.functions.weights import log_tf, robertson
@@ -38,21 +40,42 @@ def times(matrix: DataFrame, vectors: DataFrame, by: str, to: str, size: int) ->
     return sums.select(to, F.array(*[f"v{i}" for i in range(size)]).alias("vec"))
 
 
+def rows_of(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def lists_of(rows: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel()))
+
+
 def gram(vectors: DataFrame, size: int) -> np.ndarray:
-    """V'V, summed in l by l cells."""
-    cells = [F.sum(F.col("vec")[i] * F.col("vec")[j]).alias(f"g{i}_{j}") for i in range(size) for j in range(i, size)]
+    """V'V: a partial l by l matrix per partition, summed by row number."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((size, size))
+        for batch in batches:
+            if batch.num_rows:
+                rows = rows_of(batch.column(0))
+                total += rows.T @ rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), lists_of(total)], names=["i", "vec"])
+
+    parts = vectors.select("vec").mapInArrow(step, "i int, vec array<double>")
+    rows = parts.groupBy("i").agg(F.array(*[F.sum(F.col("vec")[j]) for j in range(size)]).alias("vec")).collect()  # l rows
     out = np.zeros((size, size))
-    for at in range(0, len(cells), 400):
-        for name, value in vectors.agg(*cells[at : at + 400]).first().asDict().items():
-            i, j = map(int, name[1:].split("_"))
-            out[i, j] = out[j, i] = value or 0.0
+    for r in rows:
+        out[r["i"]] = r["vec"]
     return out
 
 
 def turned(vectors: DataFrame, key: str, by: np.ndarray) -> DataFrame:
-    """Each vector times a small matrix."""
-    columns = [F.array(*[F.lit(float(x)) for x in by[:, j]]) for j in range(by.shape[1])]
-    return vectors.select(key, F.array(*[dot(F.col("vec"), c) for c in columns]).alias("vec"))
+    """Each vector times a small matrix, a batch at a time."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists_of(rows_of(batch.column(1)) @ by)], names=[key, "vec"])
+
+    return vectors.select(key, "vec").mapInArrow(step, f"{key} {dict(vectors.dtypes)[key]}, vec array<double>")
 
 
 @dataclass

@@ -8,7 +8,7 @@ from inkwell.functions.text import tokens
 from inkwell.functions.vectors import cosine
 from inkwell.operators import analytics, codecs, expand, fusion, lsi, metrics, rank
 from inkwell.operators.index import Index, collection_stats, doc_lengths, merge_postings, packed, postings_of, term_stats
-from inkwell.sources.store import shared_dir, stored_index
+from inkwell.sources.store import forget_at_end, shared_dir, stored_index
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -192,6 +192,7 @@ def model(spark: SparkSession, sf_dir: str) -> lsi.LSI:
     if key not in _models:
         path = f"{shared_dir(spark)}/lsi-{abs(hash(key)):x}"
         lsi.LSI.build(stored_index(spark, sf_dir), 20, path)
+        forget_at_end(spark, path)
         _models[key] = path
     return lsi.LSI.load(spark, _models[key])
 

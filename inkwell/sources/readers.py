@@ -11,9 +11,9 @@ def read_collection(spark: SparkSession, path: str) -> DataFrame:
     """A directory tree of .txt files -> (doc_id, path, block, docno, text).
 
     A block is a file's directory. doc_id numbers the paths in order, so it is stable where a walk's order isn't.
-    Unreadable files are skipped.
+    Unreadable and empty files have no row.
     """
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").option("ignoreCorruptFiles", True).text(path)
+    files = spark.read.option("ignoreCorruptFiles", True).text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt")
     files = files.select(F.input_file_name().alias("path"), F.col("value").alias("text"))
     files = files.select("path", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("block"), doc_number(F.col("path")).alias("docno"), "text")
     return with_ids(files, "path", "doc_id")

@@ -16,6 +16,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/") if found else "file://" + os.path.join(tempfile.gettempdir(), f"inkwell-{os.getpid()}")
 
 
+def forget_at_end(spark: SparkSession, path: str) -> None:
+    """Have the folder deleted when the application's file system closes."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
+
+
 _stored: dict[tuple[str, str, str], str] = {}
 
 
@@ -25,5 +31,6 @@ def stored_index(spark: SparkSession, sf_dir: str, table: str = "documents") ->
     if key not in _stored:
         path = f"{shared_dir(spark)}/index-{hashlib.sha256(repr(key).encode()).hexdigest()[:16]}"
         Index.build(spark.read.parquet(f"{sf_dir}/{table}.parquet").select("doc_id", "text"), path)
+        forget_at_end(spark, path)
         _stored[key] = path
     return Index.load(spark, _stored[key])
