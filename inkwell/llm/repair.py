@@ -36,6 +36,10 @@ PIECES = 700_000
 #: Documents encoded at a time.
 DOCS = 256
 
+#: Slots of a round's pairs as a power of two; a pair that isn't one: it holds END; a slot without a pair, which no pair
+#: equals since no rule is numbered 0xFFFF.
+SLOTS, NONE, FREE = 17, np.uint32(END << 16 | END), np.uint32(0xFFFFFFFF)
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -62,11 +66,12 @@ class Encoder:
         """The ids of each piece with a space before it; thousands go in one text and are told apart by their bytes."""
         for at in range(0, len(pieces), 2000):
             some = pieces[at : at + 2000]
-            ids = np.frombuffer(self.ids(["".join([" " + x for x in some])])[0], np.uint16)
-            ends = np.cumsum([len(x.encode()) + 1 for x in some])
-            cuts = (np.searchsorted(np.cumsum(self.size[ids]), ends) + 1) * 2
-            raw = ids.tobytes()
-            yield from (raw[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True))
+            text = " " + " ".join(some)
+            raw = self.ids([text])[0]
+            starts = np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == 32)  # no piece has a space inside
+            ends = np.cumsum(self.size[np.frombuffer(raw, np.uint16)])
+            cuts = [*((np.searchsorted(ends, starts[1:]) + 1) * 2).tolist(), len(raw)]
+            yield from map(raw.__getitem__, map(slice, [0, *cuts[:-1]], cuts))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [None if text[:1] == " " or text[-1:].isspace() or re.search(r"\s ", text) else text.split(" ") for text in texts]
@@ -85,6 +90,10 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def slot(pair: np.ndarray) -> np.ndarray:
+    return (pair * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOTS)
+
+
 def compress(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Symbols (uint16, END between documents) -> shorter symbols and rules (n, 2).
 
@@ -95,36 +104,29 @@ def compress(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(seq) < 2:
             break
         pair = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
-        inner = (seq[:-1] != END) & (seq[1:] != END)
-        found = np.sort(pair[inner])
-        if not len(found):
-            break
+        ends = np.flatnonzero(seq == END)
+        pair[ends[ends < len(pair)]] = NONE
+        pair[ends[ends > 0] - 1] = NONE
+        found = np.sort(pair)
         edge = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
         count = np.diff(np.append(edge, len(found)))
-        many = np.flatnonzero(count >= LEAST)
-        many = many[np.lexsort((found[edge[many]], -count[many]))][: min(RULES, 65535 - END - len(rules))]
+        many = np.flatnonzero((count >= LEAST) & (found[edge] != NONE))
+        many = many[np.lexsort((found[edge[many]], -count[many]))][: min(RULES, 65534 - END - len(rules))]
         if not len(many):
             break
         keys = found[edge[many]]
-        slot = lambda x: (x * np.uint32(0x9E3779B1)) >> np.uint32(12)
-        _, one = np.unique(slot(keys), return_index=True)  # of pairs in one slot the most frequent goes first
+        _, one = np.unique(slot(keys), return_index=True)  # of pairs in one slot the most frequent stays
         keys = keys[np.sort(one)]
-        table, name = np.zeros(1 << 20, np.uint32), np.zeros(1 << 20, np.uint16)
+        table, name = np.full(1 << SLOTS, FREE, np.uint32), np.zeros(1 << SLOTS, np.uint16)
         table[slot(keys)] = keys
         name[slot(keys)] = END + 1 + len(rules) + np.arange(len(keys))
-        at = slot(pair)
-        hit = inner & (table[at] == pair)
-        where = np.flatnonzero(hit)
-        if not len(where):
-            break
+        where = np.flatnonzero(table[slot(pair)] == pair)
         starts = np.concatenate(([True], where[1:] != where[:-1] + 1))
         run = where[np.flatnonzero(starts)][np.cumsum(starts) - 1]
         where = where[(where - run) % 2 == 0]
         seq = seq.copy()
-        seq[where] = name[at[where]]
-        keep = np.ones(len(seq), bool)
-        keep[where + 1] = False
-        seq = seq[keep]
+        seq[where] = name[slot(pair[where])]
+        seq = np.delete(seq, where + 1)
         rules = np.concatenate((rules, np.stack((keys >> np.uint32(16), keys & np.uint32(0xFFFF)), axis=1).astype(np.uint16)))
     return seq, rules
 
