@@ -34,30 +34,33 @@ def chunks(docs: DataFrame) -> DataFrame:
     def starting(seed: int) -> Column:
         return F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | boundary(seed, F.get(lh, i - 1), F.get(lh, i - 2)))
 
-    starts = F.array(*map(starting, range(CHUNKINGS)))
-    docs = docs.where("size(lh) > 0").select("doc_id", "th", "lh", "size", F.explode(starts).alias("at"))
-    at = F.col("at")
-    spans = F.transform(at, lambda s, k: F.struct(s.alias("first"), F.coalesce(F.get(at, k + 1) - 1, F.size("lh")).alias("last")))
-    spans = F.filter(spans, lambda x: (x["last"] > x["first"]) | (F.get(F.col("size"), x["first"] - 1) >= ALONE))
-    docs = docs.select("doc_id", "th", "lh", F.explode(spans).alias("x"))
+    def spans(starts: Column) -> Column:
+        return F.transform(starts, lambda s, k: F.struct(s.alias("first"), F.coalesce(F.get(starts, k + 1) - 1, n).alias("last")))
+
+    for seed in range(CHUNKINGS):
+        docs = docs.withColumn(f"s{seed}", starting(seed))
+    x = F.array_distinct(F.concat(*[spans(F.col(f"s{seed}")) for seed in range(CHUNKINGS)]))  # chunkings may agree on a chunk
+    x = F.filter(x, lambda c: (c["last"] > c["first"]) | (F.get(F.col("size"), c["first"] - 1) >= ALONE))
+    docs = docs.where("size(lh) > 0").select("doc_id", "th", "lh", F.explode(x).alias("x"))
     first, last = F.col("x.first"), F.col("x.last")
     return docs.select("doc_id", "th", first.alias("first"), last.alias("last"), F.xxhash64(F.slice("lh", first, last - first + 1)).alias("h"))
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """(doc_id, th, first, last) of chunks whose bytes also stand in an earlier place, by (doc_id, th, line)."""
-    found = chunks(docs).distinct()  # chunkings may agree on a chunk
+    found = chunks(docs)
     place = F.struct("doc_id", "th", "first", "last")
     known = found.groupBy("h").agg(F.min(place).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n")
     some = cut(found.join(known, "h").select("doc_id", "th", "first", "last", "h", "origin"), "repeats")
     # the text of the chunks that repeat, fetched once a document; a hot chunk is joined to its one origin
-    asked = some.groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "last", "h", "origin")).alias("asked"))
+    asked = some.groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "last", "h", "origin")).alias("asked"))
     docs, same = docs.select("doc_id", "th", "text"), [F.col("d.doc_id").eqNullSafe(F.col("a.doc_id")), F.col("d.th") == F.col("a.th")]
-    texts = docs.alias("d").join(asked.alias("a"), same[0] & same[1]).select("d.doc_id", "d.th", F.split("d.text", "\n").alias("lines"), F.explode("a.asked").alias("x"))
+    # both joins with texts are merge joins at every size, so that a large table runs as a small one does
+    texts = docs.alias("d").join(asked.hint("merge").alias("a"), same[0] & same[1]).select("d.doc_id", "d.th", F.split("d.text", "\n").alias("lines"), F.explode("a.asked").alias("x"))
     body = F.array_join(F.slice("lines", F.col("x.first"), F.col("x.last") - F.col("x.first") + 1), "\n")
-    texts = cut(texts.select("doc_id", "th", "x.first", "x.last", "x.h", "x.origin", body.alias("body")).dropDuplicates(["doc_id", "th", "first", "last"]), "bodies")
+    texts = cut(texts.select("doc_id", "th", "x.first", "x.last", "x.h", "x.origin", body.alias("body")), "bodies")
     own = F.struct("doc_id", "th", "first", "last")
-    origins = texts.where(own.eqNullSafe(F.col("origin"))).select("h", F.col("body").alias("origin_body"))
+    origins = texts.where(own.eqNullSafe(F.col("origin"))).groupBy("h").agg(F.first("body").alias("origin_body"))  # of one document
     later = texts.where(~own.eqNullSafe(F.col("origin")))
     return later.join(origins, "h").where("body = origin_body").select("doc_id", "th", "first", "last")
 
@@ -75,7 +78,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     held = docs.select(F.struct(*names).alias("__doc"), F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__th"))
     keyed = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     gone = repeated(keyed).groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "last")).alias("gone"))
-    gone = cut(gone, "gone").alias("g")
+    gone = cut(gone, "gone").hint("merge").alias("g")
     out = held.join(gone, F.col("__id").eqNullSafe(F.col("g.doc_id")) & (F.col("__th") == F.col("g.th")), "left")
     lines = F.split(F.col("__doc.text"), "\n")
     out = out.select("__doc", lines.alias("lines"), F.coalesce(F.col("g.gone"), F.array()).alias("gone"))
