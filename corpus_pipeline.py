@@ -10,7 +10,6 @@ from inkwell.llm.repair import token_output
 from inkwell.llm.shared import cut, read_table
 from inkwell.llm.simhash import near_duplicates
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: A path to the tokenizer of the last stage; its files are never part of the repository.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,14 +18,19 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line CRF doesn't reject; rows without a text go with the empty ones."""
     scores = quality_scores(docs, read_table(spark, sf_dir, "labels"), keep=docs.columns)
-    return scores.where("predicted = 1").select(*docs.columns)
+    return scores.where("__predicted = 1").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: the one with the least doc_id."""
+    """One document of each class of near duplicates: the one with the least doc_id, once if its row is repeated.
+
+    Rows without a doc_id can't be told from one another by it and stay.
+    """
     classes = near_duplicates(docs)
-    keep = cut(classes.where("doc_id = component_id or doc_id is null").select("doc_id").distinct(), "keep")
-    return docs.join(keep.withColumnRenamed("doc_id", "__keep"), docs["doc_id"].eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates(["doc_id", "text"])
+    keep = cut(classes.where("doc_id = component_id").select("doc_id").distinct(), "keep")
+    # a merge join at every size; what it deals by doc_id serves the distinct rows too, so texts are shuffled once
+    once = docs.join(keep.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.select(*docs.columns).union(docs.where("doc_id is null"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -218,7 +218,9 @@ def link_buckets(buckets: DataFrame, radius: int, words: int, shard: int = SHARD
     # side 0: a tree over the rows and queries among them; 1: in the tree; 2: a query
     side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
     met = met.select("bucket", "part", F.least("mine", "other").alias("left"), F.greatest("mine", "other").alias("right"), side.cast("int").alias("side"), "fp")
-    met = met.repartition("bucket", "part", "left", "right").sortWithinPartitions("bucket", "part", "left", "right", "fp")
+    # a number of its own: adaptive execution would put these few bytes, dear to search, into a few tasks
+    tasks = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = met.repartition(tasks, "bucket", "part", "left", "right").sortWithinPartitions("bucket", "part", "left", "right", "fp")
     return met.mapInArrow(bucket_links(radius, words), "a array<long>, b array<long>")
 
 
