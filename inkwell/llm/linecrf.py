@@ -233,7 +233,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, k
     score is P(quality = 1) of the whole text, from its lines only; predicted is 1 from `threshold` on. Held out of
     learning: crc32 of doc_id mod 5 is 0. Null texts count as empty. A doc_id with labels that differ isn't learnt
     from; with labels of one kind only, or none, every score is 1. A row per input row; null ids are never held out.
-    With `keep`, those columns of docs come first, and score and predicted alone follow.
+    With `keep`, those columns of docs come first, and __score and __predicted alone follow.
     """
     model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels))
 
@@ -251,6 +251,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, k
     else:
         rows = docs.select(*keep)
         first, text_at = len(keep), keep.index("text")
-    fields = [*rows.schema.fields[:first], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
+    mark = "" if keep is None else "__"
+    fields = [*rows.schema.fields[:first], T.StructField(f"{mark}score", T.DoubleType()), T.StructField(f"{mark}predicted", T.IntegerType())]
     names = [f.name for f in fields]
     return rows.mapInArrow(step, T.StructType(fields))

@@ -34,8 +34,9 @@ def targets(sizes: DataFrame, most: float = 3.0) -> DataFrame:
 
 
 def uniform(seed: int) -> Column:
-    """In (0, 1), fixed by doc_id and seed."""
-    return (F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed)), 12).cast("double") + 0.5) / float(1 << 52)
+    """In (0, 1), fixed by doc_id and seed: 52 bits of an MD5, which SQL engines share."""
+    digits = F.substring(F.md5(F.concat_ws(":", "doc_id", F.lit(seed))), 1, 13)
+    return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
 def ranked(df: DataFrame, seed: int) -> DataFrame:
@@ -90,32 +91,28 @@ def chosen() -> Column:
 
 
 def with_copies(docs: DataFrame, most: float = 3.0, seed: int = 17) -> DataFrame:
-    """docs (doc_id, source, text, ...) with mix_size, mix_source_size, mix_target and mix_copies (0 to `most`) added.
+    """docs (doc_id, source, text, ...) -> (doc, doc_id, size, source_size, target, copies): the row as a struct, and
+    how often it is taken, 0 to `most`.
 
     A null text has size 0; null is a source of its own; sources whose texts have no words take nothing. Rows that
     repeat a doc_id share their rank, so at an edge they are taken or left together. An empty table stays empty.
     """
-    docs = docs.withColumn("mix_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    rows = cut(docs.select("doc_id", "source", F.col("mix_size").alias("size")), "sizes")
-    plan = mixing_plan(rows, most, seed).withColumnRenamed("source", "__source")
-    fields = ["source_size", "target", "copies", "rest", "edge", "last_q", "last_id", "swap_id", "swap_q"]
-    plan = plan.select("__source", F.struct(*fields).alias("__plan"))
-    out = docs.join(plan, docs["source"].eqNullSafe(plan["__source"]), "left")
-    names = docs.columns
-    kept = out.select(F.struct(*names).alias("__doc"), "doc_id", *(F.col(f"__plan.{f}").alias(f) for f in fields))
-    kept = ranked(kept, seed)
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    held = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "source", size.alias("size"))
+    rows = cut(held.select("doc_id", "source", "size"), "sizes")
+    out = ranked(by_source(held, mixing_plan(rows, most, seed), "left"), seed)
     swapped = F.coalesce((F.col("q") == F.col("swap_q")) & F.col("doc_id").eqNullSafe(F.col("swap_id")), F.lit(False))
     extra = F.when(chosen() != swapped, 1).otherwise(0)
-    return kept.select(*(F.col(f"__doc.`{c}`").alias(c) for c in names), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), (F.col("copies") + extra).alias("mix_copies"))
+    return out.select("doc", "doc_id", "size", "source_size", "target", (F.col("copies") + extra).alias("copies"))
 
 
 def mix(docs: DataFrame, most: float = 3.0, seed: int = 17) -> DataFrame:
     """The mixed corpus: every document as often as it is taken, with the columns of docs."""
-    out = with_copies(docs, most, seed)
-    return out.withColumn("mix_copy", F.explode(F.when(F.col("mix_copies") > 0, F.sequence(F.lit(1), "mix_copies")))).select(*docs.columns)
+    out = with_copies(docs, most, seed).where("copies > 0")
+    return out.select("doc", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def mixing_report(docs: DataFrame, most: float = 3.0, seed: int = 17) -> DataFrame:
     """Per document: doc_id, size, source_size, target (its source's) and taken, its words times its copies."""
     out = with_copies(docs.select("doc_id", "source", "text"), most, seed)
-    return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").cast("long").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).cast("long").alias("taken"))
+    return out.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
