@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 
 from inkwell.operators import codecs
+from inkwell.operators.index import packed
 from inkwell.operators.lsi import LSI
 from inkwell.plans.engine import METHODS, SearchEngine
 from inkwell.sources.readers import read_qrels, read_queries
@@ -47,6 +48,11 @@ def parser() -> argparse.ArgumentParser:
     x = s.add_parser("bench")
     x.add_argument("--index", default="index")
     x.add_argument("--verify", action="store_true")
+    x.add_argument("--speed", action="store_true", help="time the codecs on synthetic postings")
+    x = s.add_parser("demo")
+    x.add_argument("queries", nargs="*", default=["the of and", "the with of", "zzqx the"])
+    x.add_argument("--index", default="index")
+    x.add_argument("-k", type=int, default=10)
     return p
 
 
@@ -85,8 +91,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         for name, df in engine.inspect(a.what).items():
             print(name)
             df.show(truncate=False)
+    elif a.command == "demo":
+        for text in a.queries:
+            for method in ("tfidf", "bm25", "wand"):
+                print(f"{text} by {method}")
+                engine.with_paths(engine.search(text, method, a.k)).orderBy("rank").show(a.k, False)
     else:
         engine.bench().show()
+        if a.speed:
+            rows = packed(codecs.synthetic_postings(spark)).collect()  # 500 lists of 200 at most
+            for r in codecs.speeds([([x["doc_id"] for x in row["list"]], [x["tf"] for x in row["list"]]) for row in rows]):
+                print(r)
         if a.verify:
             codecs.roundtrip(engine.index.postings).select("codec", "lists", F.col("wrong") == 0).show()
 

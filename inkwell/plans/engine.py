@@ -23,14 +23,15 @@ class SearchEngine:
     @classmethod
     def index_directory(cls, spark: SparkSession, data: str, out: str, method: str = "bsbi") -> SearchEngine:
         """Index a tree of text files into a folder, over whatever index was there."""
-        docs = read_collection(spark, data)
-        docs.select("doc_id", "path", "block", "docno").write.mode("overwrite").parquet(f"{out}/paths")
+        # many small files are read once, into columns
+        read_collection(spark, data).write.mode("overwrite").parquet(f"{out}/texts")
+        docs = spark.read.parquet(f"{out}/texts")
         Index.build(docs, out, method)
         return cls.open(spark, out)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, lsi: str | None = None) -> SearchEngine:
-        return cls(spark, Index.load(spark, path), LSI.load(spark, lsi) if lsi else None, spark.read.parquet(f"{path}/paths"))
+        return cls(spark, Index.load(spark, path), LSI.load(spark, lsi) if lsi else None, spark.read.parquet(f"{path}/texts").drop("text"))
 
     def queries(self, queries: DataFrame | str) -> DataFrame:
         return self.spark.createDataFrame([("q", queries)], "qid string, query string") if isinstance(queries, str) else queries

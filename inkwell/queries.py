@@ -369,6 +369,28 @@ def best_method(spark, sf_dir):
     return metrics.best_methods(means(spark, sf_dir), EVAL).select("metric", "method", F.round("value", 6).alias("value"))
 
 
+FUSED_LISTS = "fusedl AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM ({top_sql(FUSION[x], 100, x)})" for x in ("rrf", "combmnz", "condorcet")) + ")"
+
+
+@query(
+    "SELECT m AS method, round(avg(coalesce(rbp, 0)), 6) AS rbp, round(avg(coalesce(dcg, 0)), 6) AS dcg, round(avg(coalesce(ndcg, 0)), 6) AS ndcg, round(avg(coalesce(ap, 0)), 6) AS map FROM queries q CROSS JOIN (VALUES ('rrf'), ('combmnz'), ('condorcet')) v(m) LEFT JOIN metrics x ON x.qid = q.qid AND x.method = v.m GROUP BY m",
+    EVAL_LISTS,
+    NORMAL,
+    CONDORCET,
+    FUSED_LISTS,
+    METRICS_SQL.replace("FROM lists l", "FROM fusedl l"),
+)
+def eval_fusion(spark, sf_dir):
+    """RRF, CombMNZ and Condorcet over TF-IDF and BM25, evaluated as eval_mean does."""
+    queries = batch(spark, sf_dir)
+    lists, _ = eval_lists(spark, sf_dir)
+    names = ["rrf", "combmnz", "condorcet"]
+    both = fusion.union([fusion.STRATEGIES[n](lists, 100) for n in names])
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("rel"))
+    found = metrics.evaluate(both, both.select("qid", "doc_id").distinct().join(labels, "doc_id"), queries, names)
+    return found.select("method", *[F.round(c, 6).alias(c) for c in ("rbp", "dcg", "ndcg", "map")])
+
+
 # -- analytics --------------------------------------------------------------------------------------------------------
 
 

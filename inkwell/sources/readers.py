@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from inkwell.functions.text import SPACES, doc_number
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,11 +34,12 @@ def with_ids(df: DataFrame, key: str, name: str) -> DataFrame:
     bounds = [r[0] for r in sample][:: max(1, len(sample) // parts)]
     cuts = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<string>")
     df = df.withColumn("__part", F.size(F.filter(cuts, lambda b: b <= F.col(key).cast("string"))))
-    sizes = df.groupBy("__part").count()
-    base = sizes.select("__part", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    counts = {r["__part"]: r["count"] for r in df.groupBy("__part").count().collect()}  # a row per range
+    before = list(accumulate((counts.get(i, 0) for i in range(len(bounds) + 1)), initial=0))
+    base = F.element_at(F.array(*[F.lit(n) for n in before]), F.col("__part") + 1)
     rank = F.row_number().over(Window.partitionBy("__part").orderBy(key)) - 1
-    out = df.withColumn("__rank", rank).join(base, "__part")
-    return out.select((F.col("__base") + F.col("__rank")).cast("long").alias(name), *[c for c in df.columns if c != "__part"])
+    out = df.withColumn("__rank", rank)
+    return out.select((base + F.col("__rank")).cast("long").alias(name), *[c for c in df.columns if c != "__part"])
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:

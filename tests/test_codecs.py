@@ -67,3 +67,8 @@ def test_gaps_and_synthetic(spark):
     assert rows.groupBy("term").count().count() == 20
     gaps = codecs.with_gaps(rows)
     assert gaps.agg(F.min("gap"), F.max("gap")).first()[0] >= 1 and gaps.where("gap > 50").count() == 0
+
+
+def test_speeds():
+    rows = codecs.speeds([(P, T)])
+    assert [r["codec"] for r in rows] == list(CODECS) and all(r["same"] for r in rows) and rows[0]["ratio"] == 1

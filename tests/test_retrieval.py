@@ -182,7 +182,8 @@ def test_engine_and_command_line(spark, tmp_path, capsys):
     main(["search", "a d", "--index", out, "--method", "rrf", "--difficulty"], spark)
     main(["lsi", "related", "a", "--index", out, "--model", model], spark)
     main(["inspect", "vocab", "--index", out], spark)
-    main(["bench", "--verify", "--index", out], spark)
+    main(["bench", "--verify", "--speed", "--index", out], spark)
+    main(["demo", "a d", "--index", out], spark)
     (tmp_path / "q.txt").write_text("Q1 a d\n")
     (tmp_path / "r.txt").write_text("Q1 2\n")
     main(["eval", "--index", out, "--queries", str(tmp_path / "q.txt"), "--qrels", str(tmp_path / "r.txt"), "--methods", "bm25"], spark)
