@@ -63,7 +63,9 @@ def shard_documents(docs: DataFrame, shards: int = 8, nodes: int = NODES, parts:
     places, owners = ring(shards, nodes)
     text = F.coalesce(F.col("text"), F.lit(""))
     cuts = F.array(*[F.lit(int(p)) for p in places])
-    arc = F.pmod(F.size(F.filter(cuts, lambda p: p < F.xxhash64(text))), F.lit(len(places)))
+    # the hash is bound to a name, so that it is computed once and not for every virtual node
+    before = F.transform(F.array(F.xxhash64(text)), lambda h: F.size(F.filter(cuts, lambda p: p < h)))[0]
+    arc = F.pmod(before, F.lit(len(places)))
     size = (F.octet_length(text) + 1).cast("long")
     kind = F.floor(F.log2(size)).cast("int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), arc.cast("int").alias("arc"), (kind * parts + F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(parts))).cast("int").alias("cell"))
