@@ -23,13 +23,30 @@ def with_sketch(df: DataFrame, text: str, name: str, width: int = 5, k: int = K)
 
     Fewer words than width: the whole sequence is the one shingle. No word: an empty sketch.
     """
-    words = f"__{name}_words"
+    names, words = df.columns, f"__{name}_words"
     df = df.withColumn(words, word_hashes(F.col(text)))
     h = F.col(words)
-    runs = F.transform(F.slice(h, 1, F.size(h) - (width - 1)), lambda x, i: F.shiftrightunsigned(F.xxhash64(x, *(F.get(h, i + j) for j in range(1, width))), 64 - BITS))
-    whole = F.when(F.size(h) == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.shiftrightunsigned(F.xxhash64(h), 64 - BITS)))
-    hashes = F.when(F.size(h) < width, whole).otherwise(runs)
-    return df.withColumn(name, F.slice(F.sort_array(F.array_distinct(hashes)), 1, k)).drop(words)
+    df, runs = hash_runs(df, words, width, f"__{name}_runs")
+    short = lambda x: F.shiftrightunsigned(x, 64 - BITS)
+    whole = F.when(F.size(h) == 0, F.array().cast("array<bigint>")).otherwise(F.array(short(F.xxhash64(h))))
+    hashes = F.when(F.size(h) < width, whole).otherwise(F.transform(F.col(runs), short))
+    return df.withColumn(name, F.slice(F.sort_array(F.array_distinct(hashes)), 1, k)).select(*names, name)
+
+
+def hash_runs(df: DataFrame, words: str, width: int, name: str) -> tuple[DataFrame, str]:
+    """Add a column of the hashes of each run of `width` words, out of those of its halves; returns its name too.
+
+    Arrays are paired, never indexed inside a function of their elements: an optimizer may move such a function to
+    where its array is computed anew for every element.
+    """
+    if width == 1:
+        return df, words
+    left = 1 << (width - 1).bit_length() - 1
+    df, a = hash_runs(df, words, left, f"{name}{left}")
+    df, b = (df, a) if left * 2 == width else hash_runs(df, words, width - left, f"{name}{width - left}")
+    n = F.greatest(F.size(words) - (width - 1), F.lit(0))
+    pairs = F.zip_with(F.slice(a, 1, n), F.slice(b, left + 1, n), lambda x, y: F.xxhash64(x, y))
+    return df.withColumn(name, pairs), name
 
 
 def merge(a: Column, b: Column, k: int = K) -> Column:
