@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -231,6 +232,18 @@ class Scorer:
         return out, scores
 
 
+_scorers: dict[tuple, Scorer] = {}
+
+
+def scorer_of(langs: list[str], pieces: list[bytes], p: np.ndarray) -> Scorer:
+    """The worker's scorer of a model; tasks after its first find the trie built and words scored."""
+    key = (*langs, len(pieces), zlib.crc32(p.tobytes()))
+    if key not in _scorers:
+        _scorers.clear()
+        _scorers[key] = Scorer(langs, pieces, p.astype(float))
+    return _scorers[key]
+
+
 def identify(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): the language under which a text's words are likeliest, all weighing alike.
 
@@ -248,7 +261,7 @@ def identify(docs: DataFrame, vocabulary_path: str) -> DataFrame:
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, pieces, p = model.value
-        scorer = Scorer(langs, pieces, p.astype(float)) if langs else None
+        scorer = scorer_of(langs, pieces, p) if langs else None
         for batch in batches:
             texts = batch.column(2).to_pylist()
             lang, score = scorer.predict(texts) if scorer else (["und"] * len(texts), [0.0] * len(texts))
