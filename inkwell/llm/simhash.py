@@ -9,7 +9,7 @@ a spanning forest, and connected components join those over buckets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -102,8 +102,8 @@ def remix(hashes: np.ndarray, j: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def fingerprints(docs: DataFrame, width: int = 3, words: int = 1, keys: int = 0) -> DataFrame:
-    """(doc_id, fp array<long>, keys array<long>): SimHash over `64 * words` bits of the text's shingles.
+def fingerprints(docs: DataFrame, width: int = 3, words: int = 1, keys: int = 0, hashed: bool = False) -> DataFrame:
+    """(doc_id, fp array<long>, keys array<long>, with hashed th, a hash of the text): SimHash over `64 * words` bits of the text's shingles.
 
     With keys, that many minima of independent hashes of the shingle set go along, for blocking; the shingles then
     count once each. Null and empty texts have no shingle: fingerprint zero and keys zero.
@@ -122,16 +122,43 @@ def fingerprints(docs: DataFrame, width: int = 3, words: int = 1, keys: int = 0)
             fp = pa.array(signed(np.array(fps, np.uint64).reshape(-1)), pa.int64())
             key = pa.array(signed(np.array(mins, np.uint64).reshape(-1)), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * words, pa.int32()), fp), pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * keys, pa.int32()), key)],
-                names=["doc_id", "fp", "keys"],
+                [*batch.columns[2:], batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * words, pa.int32()), fp), pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * keys, pa.int32()), key)],
+                names=[*["th"] * hashed, "doc_id", "fp", "keys"],
             )
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return narrow.mapInArrow(step, "doc_id long, fp array<long>, keys array<long>")
+    if hashed:
+        narrow = narrow.withColumn("th", F.xxhash64("text"))
+    return narrow.mapInArrow(step, "th long, " * hashed + "doc_id long, fp array<long>, keys array<long>")
 
 
-def forest(words: np.ndarray, first: np.ndarray, second: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links that connect what is within the radius between two shards (row masks, maybe the same) of words."""
+def similar_texts(texts: pa.ChunkedArray, width: int, similarity: float):
+    """Whether two rows' sets of shingles have that Jaccard similarity; sets are made when first asked for."""
+    sets: dict[int, np.ndarray] = {}
+
+    def shingles(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = np.unique(shingle_hashes(texts[i].as_py(), width))
+        return sets[i]
+
+    def alike(i: int, j: int) -> bool:
+        a, b = shingles(i), shingles(j)
+        n, few = len(a) + len(b), min(len(a), len(b))
+        if few < similarity * (n - few) - 1e-9:
+            return False
+        both = np.sort(np.concatenate((a, b)), kind="stable")
+        same = int(np.count_nonzero(both[1:] == both[:-1]))
+        return same >= similarity * (n - same) - 1e-9
+
+    return alike
+
+
+def forest(words: np.ndarray, first: np.ndarray, second: np.ndarray, radius: int, alike: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+    """Links that connect what is within the radius between two shards (row masks, maybe the same) of words.
+
+    With alike, a pair within the radius links only if that holds too; each is asked, the nearest first, until two
+    labels are one.
+    """
     label = np.arange(len(words))
     members: dict[int, list[int]] = {}
     tree_rows = np.flatnonzero(first)
@@ -141,11 +168,17 @@ def forest(words: np.ndarray, first: np.ndarray, second: np.ndarray, radius: int
         if not found:
             continue
         hits = np.concatenate(found)
-        _, one = np.unique(label[hits], return_index=True)
-        for near in hits[one].tolist():
-            other, mine = int(label[near]), int(label[q])
-            if other == mine:
+        if alike is None:
+            _, one = np.unique(label[hits], return_index=True)
+            hits = hits[one]
+        else:
+            hits = hits[(hits < q) | ~(first[q] & second[hits])]  # a pair that meets twice is asked once
+            hits = hits[np.argsort(distances(words[hits], words[q]), kind="stable")]
+        while len(hits := hits[label[hits] != label[q]]):
+            near, hits = int(hits[0]), hits[1:]
+            if alike is not None and not alike(int(q), near):
                 continue
+            other, mine = int(label[near]), int(label[q])
             links.append((int(q), near))
             a, b = members.pop(other, [other]), members.pop(mine, [mine])
             if len(a) < len(b):
@@ -155,8 +188,11 @@ def forest(words: np.ndarray, first: np.ndarray, second: np.ndarray, radius: int
     return links
 
 
-def bucket_links(radius: int, words: int):
-    """Over rows (bucket, left, right, side, fp) sorted by the first three: links (a, b) of each bucket's shard pair."""
+def bucket_links(radius: int, words: int, width: int = 0, similarity: float = 0.0):
+    """Over rows (bucket, left, right, side, fp) sorted by the first three: links (a, b) of each bucket's shard pair.
+
+    With a similarity, rows have a text too, and linked texts' sets of `width`-word shingles have that similarity.
+    """
 
     def links_of(table: pa.Table) -> tuple[list, list]:
         n = table.num_rows
@@ -171,11 +207,12 @@ def bucket_links(radius: int, words: int):
             if e - s < 2:
                 continue
             w = fp[s:e]
+            asked = similar_texts(table.column("text").slice(s, e - s), width, similarity) if similarity else None
             if e - s == 2:
-                pairs = [(0, 1)] if distances(w[:1], w[1])[0] <= radius else []
+                pairs = [(0, 1)] if distances(w[:1], w[1])[0] <= radius and (asked is None or asked(0, 1)) else []
             else:
                 m = side[s:e]
-                pairs = forest(w, m <= 1, m != 1, radius)
+                pairs = forest(w, m <= 1, m != 1, radius, asked)
             for i, j in pairs:
                 a.append(w[i])
                 b.append(w[j])
@@ -208,20 +245,28 @@ def bucket_links(radius: int, words: int):
     return step
 
 
-def link_buckets(buckets: DataFrame, radius: int, words: int, shard: int = SHARD) -> DataFrame:
-    """(bucket, part, fp) with distinct rows -> links (a, b). Buckets over `shard` rows are cut; all shard pairs meet."""
+def link_buckets(buckets: DataFrame, radius: int, words: int, shard: int = SHARD, texts: DataFrame | None = None, width: int = 0, similarity: float = 0.0) -> DataFrame:
+    """(bucket, part, fp) with distinct rows -> links (a, b). Buckets over `shard` rows are cut; all shard pairs meet.
+
+    With texts (th, text) and buckets that have a th, links hold only between texts of that similarity.
+    """
     counts = buckets.groupBy("bucket", "part").agg(F.count("*").alias("n")).where("n > 1")
     met = buckets.join(counts, ["bucket", "part"])
     shards = F.ceil(F.col("n") / shard).cast("int")
     mine = F.when(F.col("n") > shard, F.pmod(F.xxhash64("fp", F.lit(7)), shards).cast("int")).otherwise(F.lit(0))
-    met = met.select("bucket", "part", "fp", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.greatest(shards, F.lit(1)) - 1)).alias("other"))
+    more = [] if texts is None else ["th"]
+    met = met.select("bucket", "part", "fp", *more, mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.greatest(shards, F.lit(1)) - 1)).alias("other"))
     # side 0: a tree over the rows and queries among them; 1: in the tree; 2: a query
     side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
-    met = met.select("bucket", "part", F.least("mine", "other").alias("left"), F.greatest("mine", "other").alias("right"), side.cast("int").alias("side"), "fp")
+    met = met.select("bucket", "part", F.least("mine", "other").alias("left"), F.greatest("mine", "other").alias("right"), side.cast("int").alias("side"), "fp", *more)
+    if texts is not None:
+        met = cut(met, "met")
+        asked = texts.join(met.select("th").distinct().hint("merge"), "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
+        met = met.join(asked.hint("merge"), "th").drop("th")  # at every size alike
     # a number of its own: adaptive execution would put these few bytes, dear to search, into a few tasks
     tasks = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = met.repartition(tasks, "bucket", "part", "left", "right").sortWithinPartitions("bucket", "part", "left", "right", "fp")
-    return met.mapInArrow(bucket_links(radius, words), "a array<long>, b array<long>")
+    return met.mapInArrow(bucket_links(radius, words, width, similarity), "a array<long>, b array<long>")
 
 
 def block_keys(radius: int, bits: int = 64) -> list[tuple[int, ...]]:
@@ -287,19 +332,21 @@ def simhash_components(docs: DataFrame, width: int = 3, radius: int = 2) -> Data
     return fp.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex(F.col("fp")[0])), 16, "0").alias("fingerprint"), "component_id")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, words: int = 4, keys: int = 6, similarity: float = 0.8, slack: float = 0.05) -> DataFrame:
-    """(doc_id, component_id): classes of documents whose sets of `width`-word shingles are similar.
+def near_duplicates(docs: DataFrame, width: int = 5, words: int = 4, keys: int = 6, similarity: float = 0.8, slack: float = 0.335) -> DataFrame:
+    """(doc_id, component_id): classes of documents linked where their sets of `width`-word shingles are similar.
 
-    Radius by similarity: a Jaccard similarity J is a cosine of 2J/(1+J) between shingle sets, and two SimHashes differ
-    in angle/pi of their bits. The estimate's standard error is 0.035 at 256 bits; links go down to
-    similarity - slack, so that pairs at the threshold are not lost. Blocks are minima of `keys` independent hashes of
+    A link's similarity is counted on the sets themselves; SimHashes only choose what is counted. By them, a Jaccard
+    similarity J is a cosine of 2J/(1+J) between shingle sets, and two SimHashes differ in angle/pi of their bits. The
+    estimate's standard error is 0.035 at 256 bits, and sets of four and five shingles differ more than the angle says;
+    all from an estimated similarity - slack on is counted, 71 bits. Blocks are minima of `keys` independent hashes of
     the shingle set: documents at 0.8 miss every shared block with a chance of 0.2 ** keys.
     Nulls, ties, repeated rows and extra columns: as in simhash_components.
     """
     j = similarity - slack
     radius = int(64 * words * np.arccos(2 * j / (1 + j)) / np.pi)
-    fp = cut(fingerprints(docs, width, words, keys), "fp")
-    some = fp.groupBy("fp").agg(F.min("keys").alias("keys"))
-    dealt = some.select("fp", F.posexplode("keys").alias("part", "bucket"))
-    links = cut(link_buckets(dealt, radius, words), "links")
+    fp = cut(fingerprints(docs, width, words, keys, hashed=True), "fp")
+    some = fp.groupBy("fp").agg(F.min(F.struct("keys", "th")).alias("m"))
+    dealt = some.select("fp", F.col("m.th").alias("th"), F.posexplode("m.keys").alias("part", "bucket"))
+    texts = docs.select(F.xxhash64(F.col("text").cast("binary")).alias("th"), F.col("text").cast("binary").alias("text"))
+    links = cut(link_buckets(dealt, radius, words, texts=texts, width=width, similarity=similarity), "links")
     return fp.join(classes(fp, links), "fp").select("doc_id", "component_id")

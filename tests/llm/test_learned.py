@@ -198,6 +198,35 @@ def test_near_duplicates(spark):
     assert simhash_components(odd(spark)).count() == len(ODD) and simhash_components(empty(spark)).count() == 0
 
 
+def test_near_duplicates_equal_exact_classes(spark):
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    sets, rows, links, close = {}, [], [], 0
+    for family in range(60):
+        base, mine = [word() for _ in range(r.choice((8, 9, 40, 120)))], []
+        for k in range(8):
+            w = list(base)
+            if k % 2:  # longer by a little
+                w += [word() for _ in range(r.randint(1, max(1, len(w) // 3)))]
+            for _ in range(r.randint(0, len(w) // 30) if k else 0):
+                w[r.randrange(len(w))] = word()
+            i = family * 8 + k
+            rows.append((i, " ".join(w)))
+            sets[i] = set(shingle_hashes(rows[-1][1].encode(), 5).tolist())
+            for other in mine:
+                j = len(sets[i] & sets[other]) / len(sets[i] | sets[other])
+                close += 0.7 <= j < 0.8
+                if j >= 0.8:
+                    links.append((i, other))
+            mine.append(i)
+    root = {i: i for i in sets}
+    for _ in sets:
+        for x, y in links:
+            root[x] = root[y] = min(root[x], root[y])
+    assert len(links) > 100 and close > 50
+    assert {x["doc_id"]: x["component_id"] for x in near_duplicates(docs(spark, rows)).collect()} == root
+
+
 # -- line CRF ---------------------------------------------------------------------------------------------------------
 
 
