@@ -11,6 +11,8 @@ from inkwell.llm.shared import cut
 LINES, CHUNKINGS = 2, 4
 #: A chunk of one line counts from so many bytes on.
 ALONE = 256
+#: Every passage of over so many words is found, whatever stands around it.
+WORDS = 50
 
 
 def line_hashes(text: str = "text") -> Column:
@@ -26,32 +28,66 @@ def boundary(seed: int, line: Column, before: Column) -> Column:
     return F.pmod(F.xxhash64(line if seed % 2 == 0 else before, F.lit(seed)), F.lit(LINES)) == 0
 
 
+def word_lines(text: str = "text") -> Column:
+    """The line, from 1, of each word of the text."""
+    return F.flatten(F.transform(F.split(F.col(text), "\n"), lambda x, i: F.array_repeat(i + 1, F.regexp_count(x, F.lit(r"\S+")))))
+
+
+def span(first: Column, last: Column) -> Column:
+    """A run of lines as one number, as sets of structs are compared each with each."""
+    return F.shiftleft(first.cast("long"), 32).bitwiseOR(last.cast("long"))
+
+
+def opened(x: Column) -> tuple[Column, Column]:
+    return F.shiftright(x, 32).cast("int"), x.bitwiseAND(0xFFFFFFFF).cast("int")
+
+
+def shortest_runs(at: Column) -> Column:
+    """The shortest run of lines with over WORDS words from each line on, and up to each line, by the lines of the words.
+
+    They depend on no line outside, and those within a passage of over WORDS words cover all of its lines with words.
+    """
+    ends = F.filter(F.sequence(F.lit(0), F.size(at) - 1), lambda p: ~F.get(at, p + 1).eqNullSafe(F.get(at, p)))
+
+    def runs(ends: Column) -> Column:
+        on = F.transform(F.filter(F.concat(F.array(F.lit(-1)), ends), lambda p: p + 1 + WORDS < F.size(at)), lambda p: span(F.get(at, p + 1), F.get(at, p + 1 + WORDS)))
+        back = F.transform(F.filter(ends, lambda p: p >= WORDS), lambda p: span(F.get(at, p - WORDS), F.get(at, p)))
+        return F.concat(on, back)
+
+    # the ends are found once: the one element of an array
+    return F.when(F.size(at) > WORDS, F.flatten(F.transform(F.array(ends), runs))).otherwise(F.array().cast("array<bigint>"))
+
+
 def chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, first, last, h): the chunks of each chunking over docs (doc_id, th, text), lines from 1."""
-    docs = docs.select("doc_id", "th", line_hashes().alias("lh"), F.transform(F.split("text", "\n"), lambda x: F.octet_length(x)).alias("size"))
+    """(doc_id, th, first, last, h): the chunks of each chunking and the shortest runs of docs (doc_id, th, text), lines from 1."""
+    docs = docs.select("doc_id", "th", line_hashes().alias("lh"), F.transform(F.split("text", "\n"), lambda x: F.octet_length(x)).alias("size"), word_lines().alias("at"))
+    docs = docs.select("doc_id", "th", "lh", "size", shortest_runs(F.col("at")).alias("runs"))
     lh, n = F.col("lh"), F.size("lh")
 
     def starting(seed: int) -> Column:
         return F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | boundary(seed, F.get(lh, i - 1), F.get(lh, i - 2)))
 
     def spans(starts: Column) -> Column:
-        return F.transform(starts, lambda s, k: F.struct(s.alias("first"), F.coalesce(F.get(starts, k + 1) - 1, n).alias("last")))
+        return F.transform(starts, lambda s, k: span(s, F.coalesce(F.get(starts, k + 1) - 1, n)))
 
     for seed in range(CHUNKINGS):
         docs = docs.withColumn(f"s{seed}", starting(seed))
     x = F.array_distinct(F.concat(*[spans(F.col(f"s{seed}")) for seed in range(CHUNKINGS)]))  # chunkings may agree on a chunk
-    x = F.filter(x, lambda c: (c["last"] > c["first"]) | (F.get(F.col("size"), c["first"] - 1) >= ALONE))
+    x = F.filter(x, lambda c: (opened(c)[1] > opened(c)[0]) | (F.get(F.col("size"), opened(c)[0] - 1) >= ALONE))
+    x = F.array_union(x, F.col("runs"))
     docs = docs.where("size(lh) > 0").select("doc_id", "th", "lh", F.explode(x).alias("x"))
-    first, last = F.col("x.first"), F.col("x.last")
+    first, last = opened(F.col("x"))
     return docs.select("doc_id", "th", first.alias("first"), last.alias("last"), F.xxhash64(F.slice("lh", first, last - first + 1)).alias("h"))
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """(doc_id, th, first, last) of chunks whose bytes also stand in an earlier place, by (doc_id, th, line)."""
-    found = chunks(docs)
+    found = cut(chunks(docs), "chunks")  # read twice
     place = F.struct("doc_id", "th", "first", "last")
     known = found.groupBy("h").agg(F.min(place).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n")
-    some = cut(found.join(known, "h").select("doc_id", "th", "first", "last", "h", "origin"), "repeats")
+    # a run may overlap its own first place (a line repeated at once), of which nothing goes then
+    inside = F.col("doc_id").eqNullSafe(F.col("origin.doc_id")) & (F.col("th") == F.col("origin.th")) & (F.col("first") > F.col("origin.first")) & (F.col("first") <= F.col("origin.last"))
+    some = cut(found.join(known, "h").where(~inside).select("doc_id", "th", "first", "last", "h", "origin"), "repeats")
     # the text of the chunks that repeat, fetched once a document; a hot chunk is joined to its one origin
     asked = some.groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "last", "h", "origin")).alias("asked"))
     docs, same = docs.select("doc_id", "th", "text"), [F.col("d.doc_id").eqNullSafe(F.col("a.doc_id")), F.col("d.th") == F.col("a.th")]
@@ -69,10 +105,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) with the lines of globally repeated chunks removed, and dedup_lines, dedup_removed added.
 
     A chunk is a run of lines between content-defined boundaries, so an insertion elsewhere doesn't shift it; it counts
-    if it has several lines or one of at least 256 bytes. It stays at its first place by (doc_id, hash of the text,
-    line) and goes elsewhere once its bytes have been compared. Rows that repeat doc_id and text count as one document
-    and are treated alike. Null texts stay null with 0 lines; an empty text has one line; a text whose lines all go
-    becomes empty. All columns of docs stay, whatever their names.
+    if it has several lines or one of at least 256 bytes. The shortest runs of over 50 words from and to each line are
+    chunks too, so a repeated passage of whole lines of over 50 words is found whatever its neighbours. A chunk stays
+    at its first place by (doc_id, hash of the text, line) and goes elsewhere once its bytes have been compared. Rows
+    that repeat doc_id and text count as one document and are treated alike. Null texts stay null with 0 lines; an
+    empty text has one line; a text whose lines all go becomes empty. All columns of docs stay, whatever their names.
     """
     names = docs.columns
     held = docs.select(F.struct(*names).alias("__doc"), F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__th"))

@@ -135,6 +135,34 @@ def test_insertions_do_not_shift_chunks(spark):
     assert got[1]["n_removed"] == 0 and got[2]["n_removed"] >= 36
 
 
+def test_short_passages_in_unrelated_documents_go(spark):
+    r = random.Random(11)
+    # words a line; the last ones have lines at an end that no run from the other end reaches
+    shapes = [(51,), (30,), (26, 25), (40, 11), (17, 17, 17), (13, 13, 13, 13), (51, 3), (3, 51), (20, 1, 30), (1, 51, 1, 2)]
+    rows, own, shared = [], {}, {}
+    for k, shape in enumerate(shapes * 4):
+        shared[k] = [passage(r, 1, n)[0] for n in shape]
+        for i in (1000 + k, 2000 + k):
+            before, after = passage(r, r.randint(1, 4)), passage(r, r.randint(1, 4))
+            own[i] = before, after
+            rows.append((i, "\n".join(before + shared[k] + after)))
+    got = {x["doc_id"]: x for x in line_report(docs(spark, rows)).collect()}
+    for k, shape in enumerate(shapes * 4):
+        assert got[1000 + k]["n_removed"] == 0
+        before, after = own[2000 + k]
+        if shape == (30,):  # no more than 50 words, under 256 bytes
+            assert got[2000 + k]["n_removed"] == 0
+        else:
+            assert got[2000 + k]["text"].split("\n") == before + after, shape
+
+
+def test_runs_that_overlap_their_first_place_stay(spark):
+    line = passage(random.Random(12), 1, 20)[0]
+    for n, kept in ((5, 5), (6, 3), (7, 3)):  # three lines are the shortest run
+        got = dedup_lines(docs(spark, [(1, "\n".join([line] * n))])).first()
+        assert got["text"].split("\n") == [line] * kept, n
+
+
 def test_line_chunks_of_odd_rows(spark):
     rows = docs(spark, ODD).withColumns({c: F.lit(3) for c in ("lines", "gone", "kept", "th", "first", "last", "h")})
     got = dedup_lines(rows)
