@@ -12,14 +12,14 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A word's bytes with the leading space; longer runs of letters are cut into blocks of so many.
-LONGEST = 40
 #: The training sample: documents of a language, and its distinct words, at most.
 DOCS, WORDS = 1500, 40_000
 #: EM rounds and the count that every piece of the vocabulary starts with.
 ROUNDS, PRIOR = 4, 0.01
-#: Scored words that a task keeps.
-KEPT = 300_000
+#: Scored words that a task keeps, and their bytes; places of words times letters that are summed at a time.
+KEPT, KEPT_BYTES, CELLS = 300_000, 24 << 20, 500_000
+#: Steps between two scalings of the forward sums: a letter's odds are over 1e-12, so sums stay over 1e-200.
+STEPS = 16
 LETTERS = regex.compile(r"\p{L}+")
 
 
@@ -27,7 +27,7 @@ def vocabulary(path: str) -> list[bytes]:
     """The pieces of a tiktoken rank file that can occur in a space and lower-case letters; all single bytes are."""
     with open(path, "rb") as f:
         pieces = [base64.b64decode(line.split()[0]) for line in f if line.strip()]
-    return [p for p in pieces if len(p) == 1 or (len(p) <= LONGEST and plausible(p))]
+    return [p for p in pieces if len(p) == 1 or plausible(p)]
 
 
 def plausible(piece: bytes) -> bool:
@@ -59,6 +59,7 @@ class Trie:
             if row:
                 self.next[s, list(row)] = list(row.values())
         self.end = np.array(ends, np.int32)
+        self.deep = max(map(len, pieces), default=1)
 
     def pad(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Words as a table of byte codes, and their lengths."""
@@ -89,61 +90,82 @@ class Trie:
             yield i, found
 
 
-def forward(trie: Trie, words: list[bytes], p: np.ndarray) -> np.ndarray:
-    """log of each word's probability under each language, p (pieces, languages), over all segmentations."""
-    out = np.zeros((len(words), p.shape[1]))
+def batches(words: list[bytes]) -> Iterator[np.ndarray]:
+    """Numbers of words of like lengths, CELLS letters at a time or one word."""
     order = np.argsort([len(w) for w in words], kind="stable")
     at = 0
     while at < len(order):
         longest = len(words[order[at]]) * 5 // 4 + 2
-        stop = at
-        while stop < len(order) and len(words[order[stop]]) <= longest and stop - at < 50_000:
+        stop = at + 1
+        while stop < len(order) and len(words[order[stop]]) <= longest and (stop - at) * longest < CELLS:
             stop += 1
-        rows = order[at:stop]
+        yield order[at:stop]
+        at = stop
+
+
+def rescale(a: np.ndarray, i: int, deep: int, scale: np.ndarray) -> None:
+    """Divide the sums from place i on, as far as a piece reaches, by their largest, whose log goes to the scale."""
+    open_ = a[i : i + deep + 1]
+    top = open_.max(axis=0)
+    top[top == 0] = 1.0
+    open_ /= top
+    scale += np.log(top)
+
+
+def forward(trie: Trie, words: list[bytes], p: np.ndarray) -> np.ndarray:
+    """log of each word's probability under each language, p (pieces, languages), over all segmentations."""
+    out = np.zeros((len(words), p.shape[1]))
+    for rows in batches(words):
         table, n = trie.pad([words[k] for k in rows])
-        a = np.zeros((table.shape[1] + 1, len(rows), p.shape[1]))
+        a, scale = np.zeros((table.shape[1] + 1, len(rows), p.shape[1])), np.zeros((len(rows), p.shape[1]))
         a[0] = 1.0
         for i, found in trie.arcs(table):
+            done = n == i
+            out[rows[done]] = np.log(a[i, done]) + scale[done]
+            if i and i % STEPS == 0:
+                rescale(a, i, trie.deep, scale)
             for end, who, piece in found:
                 a[end, who] += a[i, who] * p[piece]
-        out[rows] = np.log(a[n, np.arange(len(rows))])
-        at = stop
+        done = n == table.shape[1]
+        out[rows[done]] = np.log(a[-1, done]) + scale[done]
     return out
 
 
 def expected(trie: Trie, words: list[bytes], weight: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Expected counts of each piece over all segmentations of the weighted words: forward times backward."""
-    counts = np.zeros(len(p))
-    for at in range(0, len(words), 20_000):
-        table, n = trie.pad(words[at : at + 20_000])
-        rows = np.arange(len(n))
-        arcs = list(trie.arcs(table))
+    """Expected counts of each piece over all segmentations of the weighted words: forward times backward, as logs."""
+    counts, log_p = np.zeros(len(p)), np.log(p)
+    for group in batches(words):
+        table, n = trie.pad([words[k] for k in group])
+        rows, arcs = np.arange(len(n)), list(trie.arcs(table))
         a, b = np.zeros((table.shape[1] + 1, len(n))), np.zeros((table.shape[1] + 1, len(n)))
+        log_a, log_b = np.full_like(a, -np.inf), np.full_like(b, -np.inf)
+        scale = np.zeros(len(n))
         a[0] = 1.0
-        b[n, rows] = 1.0
         for i, found in arcs:
+            if i and i % STEPS == 0:
+                rescale(a, i, trie.deep, scale)
+            with np.errstate(divide="ignore"):
+                log_a[i] = np.log(a[i]) + scale
             for end, who, piece in found:
                 a[end, who] += a[i, who] * p[piece]
+        scale = np.zeros(len(n))
+        b[n, rows], log_b[n, rows] = 1.0, 0.0
         for i, found in reversed(arcs):
             for end, who, piece in found:
                 b[i, who] += p[piece] * b[end, who]
-        scale = weight[at : at + 20_000] / b[0]
+            with np.errstate(divide="ignore"):
+                log_b[i] = np.log(b[i]) + scale
+            if i % STEPS == 0:
+                rescale(b, i, trie.deep, scale)
         for i, found in arcs:
             for end, who, piece in found:
-                counts += np.bincount(piece, a[i, who] * p[piece] * b[end, who] * scale[who], minlength=len(p))
+                counts += np.bincount(piece, np.exp(log_a[i, who] + log_p[piece] + log_b[end, who] - log_b[0, who]) * weight[group][who], minlength=len(p))
     return counts
 
 
 def blocks(text: str) -> list[bytes]:
-    """A text's runs of letters, lower-cased, each with a leading space; long ones in blocks of LONGEST bytes."""
-    out = []
-    for w in LETTERS.findall(text.lower()):
-        b = b" " + w.encode()
-        if len(b) <= LONGEST:
-            out.append(b)
-        else:
-            out += [b[i : i + LONGEST] for i in range(0, len(b), LONGEST)]
-    return out
+    """A text's runs of letters, whole and lower-cased, each with a leading space."""
+    return [b" " + w.encode() for w in LETTERS.findall(text.lower())]
 
 
 def train(samples: dict[str, dict[bytes, int]], pieces: list[bytes]) -> tuple[list[str], np.ndarray]:
@@ -204,14 +226,16 @@ class Scorer:
     def __init__(self, langs: list[str], pieces: list[bytes], p: np.ndarray) -> None:
         self.langs, self.trie, self.p = langs, Trie(pieces), p
         self.known: dict[bytes, int] = {}
+        self.bytes = 0
         self.scores = np.zeros((0, len(langs)))
 
     def words(self, words: list[bytes]) -> np.ndarray:
         new = list(set(words).difference(self.known))
-        if len(self.known) + len(new) > KEPT:
-            self.known, self.scores = {}, np.zeros((0, len(self.langs)))
+        if len(self.known) + len(new) > KEPT or self.bytes > KEPT_BYTES:
+            self.known, self.scores, self.bytes = {}, np.zeros((0, len(self.langs))), 0
             new = list(set(words))
         if new:
+            self.bytes += sum(map(len, new))
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
             self.scores = np.concatenate((self.scores, forward(self.trie, new, self.p)))
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))

@@ -86,7 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: Sums run over all documents of a source in rank order here; the operator finds the same edge by cells.
 ORACLES: dict[str, str] = {
     "op6_mixing": r"""
-WITH sizes AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+WITH sizes AS (SELECT doc_id, source, md5(coalesce(text, '')) AS th, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source),
 weighed AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight, CAST(3 AS DOUBLE) * source_size AS cap FROM totals),
 shared AS (SELECT *, cap / weight AS level, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS share
@@ -94,11 +94,18 @@ shared AS (SELECT *, cap / weight AS level, (CAST(sum(source_size) OVER () AS DO
 targets AS (SELECT source, source_size, coalesce(least(cap, (SELECT share FROM shared WHERE level > share ORDER BY level, share LIMIT 1) * weight), cap) AS target FROM shared),
 plan AS (SELECT *, CASE WHEN copies >= 3 THEN 0 ELSE target - copies * source_size END AS rest
   FROM (SELECT *, CASE WHEN target >= CAST(3 AS DOUBLE) * source_size THEN 3 WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS copies FROM targets)),
-drawn AS (SELECT doc_id, s.source, size, source_size, target, copies, rest, (CAST(CAST('0x' || substr(md5(concat_ws(':', doc_id, 17)), 1, 13) AS BIGINT) AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE) AS u, CAST(rest AS DOUBLE) / source_size AS p
-  FROM sizes s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source),
-odds AS (SELECT *, CASE WHEN rest > 0 AND rest < source_size THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM drawn),
-placed AS (SELECT *, q IS NOT NULL AND coalesce(sum(size) OVER (PARTITION BY source ORDER BY q, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / CAST(2 AS DOUBLE) <= rest AS chosen FROM odds),
-missing AS (SELECT *, rest - sum(CASE WHEN chosen THEN size ELSE 0 END) OVER (PARTITION BY source) AS missing FROM placed),
-swaps AS (SELECT *, CASE WHEN q IS NOT NULL AND chosen = (missing < 0) AND abs(abs(missing) - size) < abs(missing) THEN row_number() OVER (PARTITION BY source, q IS NOT NULL AND chosen = (missing < 0) AND abs(abs(missing) - size) < abs(missing) ORDER BY abs(abs(missing) - size), q, doc_id) END AS place FROM missing)
-SELECT doc_id, size, source_size, target, CAST(size * (copies + CASE WHEN chosen <> coalesce(place = 1, false) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM swaps""",
+classes AS (SELECT s.source, rest, length(bin(size)) AS k, CAST(sum(size) AS BIGINT) AS words
+  FROM sizes s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source WHERE size > 0 AND rest > 0 AND rest < source_size GROUP BY s.source, rest, length(bin(size))),
+scaled AS (SELECT *, (rest - CAST(coalesce(sum(words) OVER before, 0) AS DOUBLE)) / CAST(sum(words * k) OVER after AS DOUBLE) AS c FROM classes
+  WINDOW before AS (PARTITION BY source ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), after AS (PARTITION BY source ORDER BY k DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+odds AS (SELECT a.source, a.k, CASE WHEN a.k > f.k THEN 1 ELSE f.c * a.k END AS p
+  FROM scaled a JOIN (SELECT source, max(k) AS k, arg_max(c, k) AS c FROM scaled WHERE c * k <= 1 GROUP BY source) f ON a.source IS NOT DISTINCT FROM f.source),
+drawn AS (SELECT doc_id, th, s.source, size, source_size, target, copies, rest, p, (CAST(CAST('0x' || substr(md5(concat_ws(':', doc_id, th, 17)), 1, 13) AS BIGINT) AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE) AS u
+  FROM sizes s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source LEFT JOIN odds o ON s.source IS NOT DISTINCT FROM o.source AND size > 0 AND o.k = length(bin(size))),
+ranked AS (SELECT *, CASE WHEN p >= 1 THEN 0 ELSE (u / (1 - u)) / (p / (1 - p)) END AS q, row_number() OVER (PARTITION BY source, doc_id, th) AS nth FROM drawn),
+placed AS (SELECT *, q IS NOT NULL AND coalesce(sum(size) OVER (PARTITION BY source ORDER BY q, doc_id NULLS FIRST, th, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / CAST(2 AS DOUBLE) <= rest AS chosen FROM ranked),
+missing AS (SELECT *, rest - sum(CASE WHEN chosen THEN size ELSE 0 END) OVER (PARTITION BY source) AS missing, bool_and(chosen) OVER repeats = bool_or(chosen) OVER repeats AS whole FROM placed WINDOW repeats AS (PARTITION BY source, doc_id, th)),
+able AS (SELECT *, q IS NOT NULL AND whole AND chosen = (missing < 0) AND abs(abs(missing) - size) < abs(missing) AS able FROM missing),
+swaps AS (SELECT *, able AND row_number() OVER (PARTITION BY source, able ORDER BY abs(abs(missing) - size), q, doc_id NULLS FIRST, th, nth) = 1 AS swapped FROM able)
+SELECT doc_id, size, source_size, target, CAST(size * (copies + CASE WHEN chosen <> swapped THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM swaps""",
 }

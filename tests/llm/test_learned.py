@@ -7,11 +7,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from inkwell.llm import pii, qgrams, repair
-from inkwell.llm.langid import Trie, blocks, expected, forward, identify, train, vocabulary
+from inkwell.llm.langid import Scorer, Trie, blocks, expected, forward, identify, train, vocabulary
 from inkwell.llm.linecrf import LineCRF, line_features, marginals, quality_scores
 from inkwell.llm.shared import connected_components
 from inkwell.llm.simhash import BKTree, distances, forest, near_duplicates, near_fingerprints, shingle_hashes, simhash_components
@@ -72,7 +73,30 @@ def test_training_tells_languages_apart():
 
 def test_blocks():
     assert blocks("Ab, cd2é!") == [b" ab", b" cd", b" \xc3\xa9"]
-    assert max(map(len, blocks("x" * 1000))) <= 40 and b"".join(blocks("x" * 1000)) == b" " + b"x" * 1000
+    assert blocks("x" * 1000) == [b" " + b"x" * 1000]
+
+
+def test_long_words_of_unseen_scripts_have_scores():
+    """Odds of a letter down to 1e-9, words of up to 30,000 letters: no sum underflows, and posteriors are in 0 to 1."""
+    pieces = vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    r = random.Random(1)
+    words = {lang: {(" " + "".join(r.choice(s) for _ in range(r.randrange(1, 4)))).encode(): r.randrange(1, 30_000) for _ in range(2500)} for lang, s in (("x", ["ka", "lo", "mi", "su"]), ("y", ["tsch", "er", "ung", "bei"]))}
+    words["x"][(" " + "kalo" * 40).encode()] = 5
+    langs, p = train(words, pieces)
+    assert np.allclose(p.sum(axis=0), 1) and p.min() < 1e-8
+    scorer = Scorer(langs, pieces, p)
+    texts = ["漢" * 200, "語" * 30_000, "".join(chr(0x0E01 + i % 40) for i in range(300)), "ж" * 41, "kalo" * 900, "erung" * 900, "zzzz qqqq", "\U0001d51e" * 100]
+    lang, score = scorer.predict(texts)
+    assert all(0.5 <= x <= 1 for x in score) and lang[4:6] == ["x", "y"]
+    # scaled sums equal those of logs, a letter at a time
+    odds = {w: k for k, w in enumerate(pieces)}
+    word = " 漢字かな".encode() * 9
+    logs = [np.zeros(2)] + [np.full(2, -np.inf)] * len(word)
+    for i in range(len(word)):
+        for j in range(i + 1, len(word) + 1):
+            if word[i:j] in odds:
+                logs[j] = np.logaddexp(logs[j], logs[i] + np.log(p[odds[word[i:j]]]))
+    assert np.allclose(forward(Trie(pieces), [word, b" a"], p)[0], logs[-1])
 
 
 def test_identify(spark):
@@ -344,28 +368,70 @@ def test_decontaminate_tables(spark):
 # -- Re-Pair ----------------------------------------------------------------------------------------------------------
 
 
+END = 50
+
+
+def packed(ids):
+    joined = np.concatenate([np.array([*x, END], np.uint32) for x in ids])
+    return repair.Block(repair.pack(list(range(len(ids))), joined, np.array([len(x) + 1 for x in ids]), END))
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 3), max_size=80), min_size=1, max_size=12))
 def test_blocks_round_trip(ids):
-    block = repair.Block(repair.pack(list(range(len(ids))), [np.array(x, np.uint16).tobytes() for x in ids]))
+    block = packed(ids)
     assert [x.tolist() for x in block.decode_all()] == [[*x, 0] for x in ids]
     assert [block.decode(i).tolist() for i in range(len(ids))] == [[*x, 0] for x in ids]
 
 
 def test_rules_shorten_repetitive_blocks():
-    ids = [np.array([5, 6, 7, 8] * 500, np.uint16).tobytes()] * 3
-    block = repair.Block(repair.pack([1, 2, 3], ids))
-    assert len(block.seq) < 1100 and block.lengths.max() == 8
+    block = packed([[5, 6, 7, 8] * 500] * 3)
+    assert len(block.seq) + len(block.rules) < 60 and block.lengths.max() > 100
+
+
+def apart(seq, end):
+    """How often each pair occurs, places of a run of one symbol apart from each other."""
+    count, last = {}, {}
+    for i, pair in enumerate(zip(seq, seq[1:], strict=False)):
+        if end not in pair and last.get(pair, -2) != i - 1:
+            count[pair], last[pair] = count.get(pair, 0) + 1, i
+    return count
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 6) | st.just(END), max_size=600), st.integers(1, 4))
+def test_no_frequent_pair_remains(ids, times):
+    seq, rules, lengths = repair.compress(np.array(ids * times, np.uint32), END)
+    assert max(apart(seq.tolist(), END).values(), default=0) < repair.LEAST
+    whole = [END] * END + [1] + [0] * len(rules)
+    for r, (x, y) in enumerate(rules.tolist()):
+        assert max(x, y) < END + 1 + r and END not in (x, y)
+        whole[END + 1 + r] = sum(lengths[z - END - 1] if z > END else 1 for z in (x, y))
+    assert lengths.tolist() == whole[END + 1 :]
+
+
+def test_vocabularies_of_any_size():
+    for end in (3, 70_000, 1 << 31):
+        ids = np.array([[end - 1, 1, end - 2, end] * 9] * 40, np.uint32).ravel()
+        block = repair.Block(repair.pack([1] * 360, ids, np.full(360, 4), end))
+        assert len(block.rules) == 2 and all(x.tolist() == [end - 1, 1, end - 2, 0] for x in block.decode_all())
 
 
 TEXTS = ["a  b", "\n x", "w \nx  y", " lead", "end ", "it's 'tis don't", "a\nb c\n", "x \ny z", "é  a b", "a　 b c", "x \n\n  y", "<|endoftext|> a <|endoftext|>", "", " ", "é ñ 漢字 🙂", "!!! ! !"]
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(st.sampled_from("ab'.,! \n\t é漢1"), max_size=30), max_size=8))
+@given(st.lists(st.text(st.sampled_from("ab'.,! \n\t é漢1s\u00a0\u3000\u200a\x1f_"), max_size=30), max_size=8))
 def test_pieces_encode_as_whole_texts(texts):
     e = repair.encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    assert e.encode(texts + TEXTS) == [x for t in texts + TEXTS for x in e.ids([t])]
+    ids, n = e.encode(pa.array([x.encode() for x in texts + TEXTS], pa.binary()))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [[*x.tolist(), e.end] for x in e.ids(texts + TEXTS)]
+
+
+def test_other_tokenizers_encode_whole_texts():
+    e = repair.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    ids, n = e.encode(pa.array([x.encode() for x in TEXTS], pa.binary()).slice(1))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [[*x.tolist(), e.end] for x in e.ids(TEXTS[1:])]
 
 
 def test_token_output(spark):

@@ -62,6 +62,62 @@ def test_mix_of_odd_rows(spark):
     assert out.columns == clash.columns and out.where("q <> 7 or doc <> 7").count() == 0
 
 
+def near_targets(got, part=0.01):
+    by = {}
+    for r in got:
+        assert 0 <= r["taken"] <= 3 * r["size"] and (not r["size"] or r["taken"] % r["size"] == 0)
+        by.setdefault(r["target"], []).append(r["taken"])
+    return all(abs(sum(taken) - target) <= part * target for target, taken in by.items())
+
+
+def test_mix_with_null_equal_and_repeated_ids(spark):
+    r = random.Random(3)
+    texts = [" ".join(r.choice("abcdefg") for _ in range(r.randrange(1, 60))) for _ in range(600)]
+    rows = [(None if i % 2 else 7, t, "ab"[i % 3 == 0]) for i, t in enumerate(texts)]
+    assert near_targets(mixing_report(docs(spark, rows)).collect())
+    same = [(None, "one text for all of them", "ab"[i % 3 == 0]) for i in range(900)]
+    for table in (same, same + rows):
+        got = mixing_report(docs(spark, table).repartition(5)).collect()
+        assert len(got) == len(table) and near_targets(got)
+        assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing_report(docs(spark, table)).collect()), key=str)
+    assert mix(docs(spark, same)).count() == sum(x["taken"] // x["size"] for x in mixing_report(docs(spark, same)).collect())
+
+
+def test_long_documents_are_likelier_to_be_taken(spark):
+    """Inclusion frequencies over seeds follow the probabilities of the length classes."""
+    rows = [(i, "w " * (1 << i % 4 * 2), "ab"[i % 5 == 0]) for i in range(1600)]
+    taken, tried, expected = {}, {}, {}
+    from inkwell.llm.mixing import mixing_plan, sized
+
+    table = docs(spark, rows).cache()
+    plan = {r["source"]: r for r in mixing_plan(table.select(*sized(table))).collect()}
+    for seed in range(3):
+        for r in mixing_report(table, seed=seed).collect():
+            source = "ab"[r["doc_id"] % 5 == 0]
+            if plan[source]["p"]:
+                at = source, r["size"].bit_length()
+                taken[at] = taken.get(at, 0) + r["taken"] // r["size"] - plan[source]["copies"]
+                tried[at] = tried.get(at, 0) + 1
+                expected[at] = plan[source]["p"][at[1]]
+    assert len({round(p, 6) for p in expected.values()}) > 2
+    for at, n in tried.items():
+        error = (expected[at] * (1 - expected[at]) / n) ** 0.5
+        assert abs(taken[at] / n - expected[at]) <= 5 * error + 0.02, at
+
+
+def test_mix_equals_its_sql(spark, tmp_path):
+    import duckdb
+    from inkwell.llm.queries import ORACLES
+
+    r = random.Random(5)
+    rows = [(None if i % 7 == 0 else i % 250, " ".join(r.choice("abc") for _ in range(r.choice((0, 1, 2, 3, 90)))), r.choice(("a", "b", None))) for i in range(500)]
+    docs(spark, rows).write.parquet(str(tmp_path / "d"))
+    documents = duckdb.read_parquet(str(tmp_path / "d/*.parquet"))  # noqa: F841
+    want = [tuple(x) for x in duckdb.sql(ORACLES["op6_mixing"]).fetchall()]
+    got = [tuple(x) for x in mixing_report(docs(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 # -- sharding ---------------------------------------------------------------------------------------------------------
 
 
@@ -73,8 +129,9 @@ def test_ring_walk_visits_every_shard_once():
 def test_overflow_goes_clockwise():
     import numpy as np
 
-    arc, size = np.zeros(4, int), np.array([4, 3, 2, 1])
-    assert list(place(arc, size, np.arange(4), np.array([[2, 0, 1]]), 5)) == [2, 0, 0, 2]
+    route = np.array([[2, 0, 1], [0, 1, 2]])
+    assert place([(0, 4, 8), (1, 3, 3)], np.arange(2), route, 5) == [(0, 0, 2, 2), (0, 2, 2, 0), (1, 0, 1, 0), (1, 1, 2, 1)]
+    assert place([(0, 1, 9)], np.arange(1), route, 5) == [(0, 0, 1, 0)]
 
 
 def test_shards_are_even_and_slots_gapless(spark):
@@ -91,7 +148,39 @@ def test_shards_are_even_and_slots_gapless(spark):
     assert len(load) == 8 and max(load.values()) <= 1.03 * min(load.values())
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     again = {x["doc_id"]: x["shard"] for x in shard_documents(docs(spark, rows).repartition(7)).collect()}
-    assert again == {x["doc_id"]: x["shard"] for x in got}
+    assert sum(again[x["doc_id"]] != x["shard"] for x in got) <= 16  # but for rows of a bucket that is cut
+
+
+def test_sharding_by_brute_force(spark):
+    """Where nothing overflows a text's rows are in the shard after its hash; of the others each is in a later one of its route."""
+    import numpy as np
+
+    rows = [(i, f"text {i % 700} " * (i % 17)) for i in range(2000)]
+    places, owners = ring(8)
+    routes, table = walk(owners, 8), docs(spark, rows)
+    arcs = {r["doc_id"]: int(np.searchsorted(places, r["h"])) % len(places) for r in table.select("doc_id", F.xxhash64("text").alias("h")).collect()}
+    got = {r["doc_id"]: r["shard"] for r in shard_documents(table).collect()}
+    load = np.zeros(8)
+    for i, text in rows:
+        load[got[i]] += len(text) + 1
+    full = load >= load.mean() * 0.99
+    for i, s in got.items():
+        route = routes[arcs[i]].tolist()
+        assert all(full[x] for x in route[: route.index(s)])
+    loose = {r["doc_id"]: r["shard"] for r in shard_documents(table, slack=9.0).collect()}
+    assert all(owners[arcs[i]] == s for i, s in loose.items())
+    assert sum(loose[i] == s for i, s in got.items()) > 0.5 * len(rows)
+
+
+def test_equal_rows_spread_over_shards(spark):
+    for table in ([(None, "one text")] * 600, [(3, "w" * (i % 9)) for i in range(900)] + [(None, "x" * 40)] * 300):
+        got = shard_documents(docs(spark, table).repartition(5)).collect()
+        load, slots = {}, {}
+        for x in got:
+            load[x["shard"]] = load.get(x["shard"], 0) + x["size"]
+            slots.setdefault(x["shard"], []).append(x["slot"])
+        assert len(got) == len(table) and len(load) == 8 and max(load.values()) <= 1.03 * min(load.values())
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
 def test_sharding_of_odd_rows(spark):
