@@ -2,13 +2,14 @@
 
 A file is a Parquet part of blocks, one row each; a block's payload is self-contained (little-endian):
 
-    b"RPAIR001", uint32 documents, uint32 rules, uint32 symbols
+    b"RPAIR002", uint32 documents, uint32 rules, uint32 symbols, uint32 end
     int64  doc_id of each document          uint8  whether that id is null
     uint32 first symbol of each document    uint32 tokens of each document, the end id included
-    uint16 left, uint16 right of each rule  uint32 expansion length of each rule
-    uint16 symbols
+    uint32 left, uint32 right of each rule  uint32 expansion length of each rule
+    uint32 symbols
 
-Symbols below END are token ids, END closes a document and stands for id 0, END + 1 + r is rule r.
+Symbols below `end`, the size of the vocabulary, are token ids; `end` closes a document and stands for id 0; end + 1 + r
+is rule r.
 """
 
 from __future__ import annotations
@@ -18,70 +19,186 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.llm.shared import cut
 
-END = 50257
-MAGIC = b"RPAIR001"
-#: Tokens after which a block is closed; rounds of a block; rules of a round; a pair must occur so often.
-BLOCK, ROUNDS, RULES, LEAST = 1 << 21, 3, 4000, 12
-#: Encoded pieces that a worker keeps.
-PIECES = 700_000
-#: Documents encoded at a time.
-DOCS = 256
+MAGIC = b"RPAIR002"
+#: Tokens after which a block is closed; a pair becomes a rule if it occurs so often: below, a rule costs more than it saves.
+BLOCK, LEAST = 1 << 18, 8
+#: Slots of the counts that rule out rare pairs, as a power of two.
+SLOTS = 17
+#: Encoded pieces that a worker keeps; bytes of text encoded at a time.
+PIECES, BYTES = 600_000, 4 << 20
 
-#: Slots of a round's pairs as a power of two; a pair that isn't one: it holds END; a slot without a pair, which no pair
-#: equals since no rule is numbered 0xFFFF.
-SLOTS, NONE, FREE = 17, np.uint32(END << 16 | END), np.uint32(0xFFFFFFFF)
+#: Classes of bytes. A is part of a character that is no white space, U of one that may be anything.
+LETTER, DIGIT, MARK, QUOTE, SPACE, BLANK, A, U = range(8)
+
+
+def _classes() -> np.ndarray:
+    out = np.full(256, U, np.uint8)
+    for b in range(33, 127):
+        c = chr(b)
+        out[b] = LETTER if c.isalpha() else DIGIT if c.isdigit() else QUOTE if c == "'" else MARK
+    out[32], out[9:14], out[128:] = SPACE, BLANK, A
+    return out
+
+
+CLASS = _classes()
+#: All Unicode white space is ASCII or starts with one of these bytes.
+LEAD = np.isin(np.arange(256), (0xC2, 0xE1, 0xE2, 0xE3))
+#: Whether a byte-level pre-tokenizer surely splits between two classes, whatever stands around them.
+SPLIT = np.zeros((8, 8), bool)
+for _x in (LETTER, DIGIT, MARK, QUOTE, A):
+    SPLIT[_x, [SPACE, BLANK]] = SPLIT[BLANK, _x] = True
+SPLIT[LETTER, [DIGIT, MARK, QUOTE]] = SPLIT[DIGIT, [LETTER, MARK, QUOTE]] = SPLIT[MARK, [LETTER, DIGIT]] = SPLIT[QUOTE, DIGIT] = True
+WHITE, KNOWN = np.zeros((8, 8), bool), np.ones(8, bool)
+WHITE[SPACE : BLANK + 1, SPACE : BLANK + 1], KNOWN[[SPACE, BLANK, U]] = True, False
+
+
+#: Words that no byte-level pre-tokenizer splits: Latin letters, maybe after a space.
+WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+
+
+def boundaries(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Before which bytes of some joined texts, given their starts, the pre-tokenizer surely splits.
+
+    A byte-level pre-tokenizer cuts a text into runs of letters, digits, marks and white space, each with the space
+    before it; of several white characters before another, the last stands alone or is that space. Only boundaries
+    that follow from the bytes next to them are told, so the pieces between them encode as they do in the text.
+    """
+    kind = CLASS.take(raw)
+    lead = np.flatnonzero(LEAD.take(raw))
+    for k in range(3):
+        at = lead[(lead + k < len(raw)) & (raw[lead] >= (0xE0 if k == 2 else 0))] + k
+        kind[at] = U
+    out = np.zeros(len(raw), bool)
+    pair = kind << 3
+    pair[:-1] |= kind[1:]
+    SPLIT.ravel().take(pair[:-1], out=out[1:])
+    # before the last of several white characters, which what follows must show; no text has the next one's bytes
+    last = np.flatnonzero(WHITE.ravel().take(pair[:-1])) + 1
+    last = last[last < len(raw) - 1]
+    begins = np.zeros(len(raw), bool)
+    begins[starts] = True
+    out[last[KNOWN.take(kind[last + 1]) & ~begins[last + 1]]] = True
+    if len(lead):
+        after = np.flatnonzero(pair[:-1] == (U << 3 | BLANK)) + 2
+        after = after[after < len(raw)]
+        out[after[KNOWN.take(kind[after])]] = False
+    out[starts] = True
+    return out
 
-_encoders: dict[str, Encoder] = {}
+
+def ragged(flat: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """flat[start : start + n] of each, joined."""
+    end = np.cumsum(n)
+    return flat[np.repeat(start - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
+
+
+def sliced(values: pa.LargeBinaryArray) -> list[bytes]:
+    """The values as bytes; several times faster than one scalar after another."""
+    at = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1].tolist()
+    data = values.buffers()[2].to_pybytes() if len(values) else b""
+    return [data[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
 class Encoder:
-    """Whole texts to token ids as little-endian uint16 bytes, by the tokenizers library.
+    """Whole texts to token ids by the tokenizers library; each distinct piece between sure boundaries is encoded once.
 
-    A byte-level BPE splits text before any space that follows a non-space, whatever else stands around it, so texts
-    are cut there and each distinct piece is encoded once. A text with a space after another space is encoded whole.
+    A text with an added token, and all texts for a tokenizer of another kind, are one piece.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        import json
+
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        # a token of a byte-level vocabulary is written with a character per byte
-        self.size = np.array([len(self.tokenizer.id_to_token(i)) for i in range(self.tokenizer.get_vocab_size())])
-        self.known: dict[str, bytes] = {}
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, np.uint16).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def pieces(self, pieces: list[str]) -> Iterator[bytes]:
-        """The ids of each piece with a space before it; thousands go in one text and are told apart by their bytes."""
-        for at in range(0, len(pieces), 2000):
-            some = pieces[at : at + 2000]
-            text = " " + " ".join(some)
-            raw = self.ids([text])[0]
-            starts = np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == 32)  # no piece has a space inside
-            ends = np.cumsum(self.size[np.frombuffer(raw, np.uint16)])
-            cuts = [*((np.searchsorted(ends, starts[1:]) + 1) * 2).tolist(), len(raw)]
-            yield from map(raw.__getitem__, map(slice, [0, *cuts[:-1]], cuts))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if text[:1] == " " or text[-1:].isspace() or re.search(r"\s ", text) else text.split(" ") for text in texts]
-        new = set(chain.from_iterable(x[1:] for x in cut if x))
+        self.end = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
+        with open(path, encoding="utf-8") as f:
+            kind = json.load(f)
+        split = kind.get("pre_tokenizer") or {}
+        self.byte_level = not kind.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+        self.added = [x["content"].encode() for x in kind.get("added_tokens", [])]
+        # words are told apart by a character that none of them has, which the pre-tokenizer takes away
+        self.listed = Tokenizer.from_file(path)
+        if self.byte_level:
+            self.listed.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit("\n"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            # a token of a byte-level vocabulary is written with a character per byte
+            self.size = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.end)])
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.flat, self.start, self.n = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, pieces: list[bytes]) -> None:
+        """Encode new pieces: words, which nothing splits, many in one text and told apart by their bytes; others one by one."""
+        plain = list(filter(WORD.fullmatch, pieces)) if self.byte_level else []
+        for at in range(0, len(plain), 20_000):
+            some = plain[at : at + 20_000]
+            ids = np.array(self.listed.encode_batch_fast([b"\n".join(some).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(p) for p in some])) + 1
+            self.keep(some, ids, np.diff(ends, prepend=0))
+        known = set(plain)
+        if other := [p for p in pieces if p not in known]:
+            each = self.ids([p.decode() for p in other])
+            self.keep(other, np.concatenate(each), np.array([len(x) for x in each]))
+
+    def keep(self, pieces: list[bytes], ids: np.ndarray, n: np.ndarray) -> None:
+        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces)), strict=True))
+        self.new.append((ids, n))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (binary, without nulls) joined, `end` after each, and how many each has with that."""
+        texts = texts.cast(pa.large_binary())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = texts.buffers()[2]
+        raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+        at = offsets - offsets[0]
+        first = at[:-1][at[:-1] < at[1:]]  # of texts that aren't empty
+        if self.byte_level:
+            is_cut = boundaries(raw, first)
+            whole = raw.tobytes() if any(map(bytes(raw).find, self.added)) else b""
+            for token in self.added:
+                i = whole.find(token)
+                while i >= 0:
+                    t = int(np.searchsorted(at, i, "right"))
+                    is_cut[at[t - 1] + 1 : at[t]] = False
+                    i = whole.find(token, i + 1)
+            cuts = np.flatnonzero(is_cut)
+        else:
+            cuts = first
+        slices = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(np.append(cuts, len(raw)).astype(np.int64)), pa.py_buffer(raw)])
+        table = slices.dictionary_encode()
+        pieces = sliced(table.dictionary)
         if len(self.known) > PIECES:
-            self.known.clear()
-        todo = list(new.difference(self.known))
-        self.known.update(zip(todo, self.pieces(todo), strict=True))
-        heads = iter(self.ids([x[0] if x else text for x, text in zip(cut, texts, strict=True)]))
-        return [b"".join([next(heads), *map(self.known.__getitem__, x[1:] if x else ())]) for x in cut]
+            self.forget()
+        self.new: list[tuple[np.ndarray, np.ndarray]] = []
+        self.learn([p for p in pieces if p not in self.known])
+        if self.new:
+            n = np.concatenate([x for _, x in self.new])
+            begin = len(self.flat) + np.cumsum(n) - n
+            self.flat, self.n, self.start = np.concatenate([self.flat, *(x for x, _ in self.new)]), np.concatenate((self.n, n)), np.concatenate((self.start, begin))
+        which = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))[table.indices.to_numpy()]
+        n = self.n[which]
+        upto = np.concatenate(([0], np.cumsum(n)))
+        ends = upto[np.searchsorted(cuts, at[1:])]
+        out = np.insert(ragged(self.flat, self.start[which], n), ends, self.end)
+        return out, np.diff(ends, prepend=0) + 1
+
+
+_encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
@@ -90,77 +207,102 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def slot(pair: np.ndarray) -> np.ndarray:
-    return (pair * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOTS)
+def sizes(symbols: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
+    """How many ids each symbol stands for."""
+    out = np.ones(symbols.shape, np.int64)
+    rule = symbols > end
+    out[rule] = lengths[symbols[rule] - (end + 1)]
+    return out
 
 
-def compress(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols (uint16, END between documents) -> shorter symbols and rules (n, 2).
+def compress(seq: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols (uint32, `end` between documents) -> shorter symbols, rules (n, 2) and the rules' expansion lengths.
 
-    A round replaces its most frequent pairs together, leftmost first where they overlap; pairs never hold END.
+    A round counts the pairs that may have become frequent and replaces them together; where two pairs overlap the
+    more frequent one goes first, and a pair that keeps fewer than LEAST places waits for the next round. Rounds go on
+    until no pair occurs LEAST times; the most frequent pair is replaced in each, so they end. Pairs never hold `end`.
     """
-    rules = np.zeros((0, 2), np.uint16)
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
-        pair = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
-        ends = np.flatnonzero(seq == END)
-        pair[ends[ends < len(pair)]] = NONE
-        pair[ends[ends > 0] - 1] = NONE
-        found = np.sort(pair)
-        edge = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
-        count = np.diff(np.append(edge, len(found)))
-        many = np.flatnonzero((count >= LEAST) & (found[edge] != NONE))
-        many = many[np.lexsort((found[edge[many]], -count[many]))][: min(RULES, 65534 - END - len(rules))]
-        if not len(many):
+    seq = seq.astype(np.uint32)
+    rules, lengths, top = [np.zeros((0, 2), np.uint32)], np.zeros(0, np.int64), end + 1
+    live = np.ones(len(seq), bool)  # the pair that starts here may be frequent
+    while len(seq) > 1:
+        live[-1] = False
+        live[:-1] &= (seq[:-1] != end) & (seq[1:] != end)
+        starts = live.copy()
+        place = np.flatnonzero(live[:-1] & (seq[:-1] == seq[1:]))
+        if len(place):  # in a run of one symbol every other pair counts
+            first = np.concatenate(([True], place[1:] != place[:-1] + 1))
+            starts[place[(place - place[np.flatnonzero(first)][np.cumsum(first) - 1]) % 2 == 1]] = False
+        at = np.flatnonzero(starts)
+        bits = int(top).bit_length()
+        pair = seq[at].astype(np.uint64) << np.uint64(bits) | seq[at + 1]
+        slot = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int64)
+        often = (np.bincount(slot, minlength=1 << SLOTS) >= LEAST)[slot]  # pairs may share a slot: none is missed
+        live[at[~often]] = False
+        at, pair = at[often], pair[often]
+        width = int(len(seq)).bit_length()
+        if 2 * bits + width <= 64:
+            both = np.sort(pair << np.uint64(width) | at.astype(np.uint64))
+            pair, at = both >> np.uint64(width), (both & np.uint64((1 << width) - 1)).astype(np.int64)
+        else:
+            order = np.argsort(pair, kind="stable")
+            pair, at = pair[order], at[order]
+        edge = np.flatnonzero(np.concatenate((np.ones(min(1, len(pair)), bool), pair[1:] != pair[:-1])))
+        count = np.diff(np.append(edge, len(pair)))
+        order = np.argsort(count, kind="stable")
+        rank = np.zeros(len(edge), np.int32)
+        rank[order] = np.arange(1, len(edge) + 1)
+        rank[count < LEAST] = 0
+        of = np.repeat(rank, count)
+        live[at] = of > 0
+        if not (count >= LEAST).any():
             break
-        keys = found[edge[many]]
-        _, one = np.unique(slot(keys), return_index=True)  # of pairs in one slot the most frequent stays
-        keys = keys[np.sort(one)]
-        table, name = np.full(1 << SLOTS, FREE, np.uint32), np.zeros(1 << SLOTS, np.uint16)
-        table[slot(keys)] = keys
-        name[slot(keys)] = END + 1 + len(rules) + np.arange(len(keys))
-        where = np.flatnonzero(table[slot(pair)] == pair)
-        starts = np.concatenate(([True], where[1:] != where[:-1] + 1))
-        run = where[np.flatnonzero(starts)][np.cumsum(starts) - 1]
-        where = where[(where - run) % 2 == 0]
-        seq = seq.copy()
-        seq[where] = name[slot(pair[where])]
-        seq = np.delete(seq, where + 1)
-        rules = np.concatenate((rules, np.stack((keys >> np.uint32(16), keys & np.uint32(0xFFFF)), axis=1).astype(np.uint16)))
-    return seq, rules
-
-
-def lengths(rules: np.ndarray) -> np.ndarray:
-    out = np.ones(len(rules), np.int64)
-    for r, (x, y) in enumerate(rules.tolist()):
-        out[r] = (out[x - END - 1] if x > END else 1) + (out[y - END - 1] if y > END else 1)
+        place = np.zeros(len(seq) + 2, np.int32)
+        place[at + 1] = of
+        at = np.flatnonzero((place[1:-1] > place[:-2]) & (place[1:-1] > place[2:]))
+        rank = place[at + 1] - 1
+        won = np.bincount(rank, minlength=len(edge))
+        made = np.flatnonzero(won >= LEAST)
+        name = np.zeros(len(edge), np.uint32)
+        name[made] = top + np.arange(len(made))
+        taken = won[rank] >= LEAST
+        at, rank, made = at[taken], rank[taken], order[made]
+        new = np.stack((pair[edge[made]] >> np.uint64(bits), pair[edge[made]] & np.uint64((1 << bits) - 1)), axis=1).astype(np.uint32)
+        rules.append(new)
+        lengths = np.concatenate((lengths, sizes(new, lengths, end).sum(axis=1)))
+        top += len(made)
+        seq[at] = name[rank]
+        live[at] = True
+        live[at[at > 0] - 1] = True
+        stay = np.ones(len(seq), bool)
+        stay[at + 1] = False
+        # the pair before a replaced one may start with a symbol that this round replaced as well
+        live[at[at > 1] - 2] |= ~stay[at[at > 1] - 1]
+        seq, live = seq[stay], live[stay]
+    return seq, np.concatenate(rules), lengths
+
+
+def expand(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
+    """Symbols back to token ids (uint32), `end` as 0. A rule's halves are put where its expansion begins and so on."""
+    n = sizes(seq, lengths, end)
+    at = np.cumsum(n) - n
+    out = np.zeros(int(n.sum()), np.uint32)
+    while len(seq):
+        leaf = seq <= end
+        out[at[leaf]] = seq[leaf]
+        seq, at = seq[~leaf], at[~leaf]
+        left, right = rules[seq - (end + 1)].T
+        seq, at = np.concatenate((left, right)), np.concatenate((at, at + sizes(left, lengths, end)))
+    out[out == end] = 0
     return out
 
 
-def expand(seq: np.ndarray, rules: np.ndarray) -> np.ndarray:
-    """Symbols back to token ids (uint32), END as 0."""
-    size = np.concatenate((np.ones(END + 1, np.int64), lengths(rules)))
-    start = np.cumsum(size) - size
-    flat = np.zeros(int(size.sum()), np.uint32)
-    flat[:END] = np.arange(END)
-    for r, (x, y) in enumerate(rules.tolist()):
-        s, m = start[END + 1 + r], size[x]
-        flat[s : s + m] = flat[start[x] : start[x] + m]
-        flat[s + m : s + m + size[y]] = flat[start[y] : start[y] + size[y]]
-    n = size[seq]
-    end = np.cumsum(n)
-    return flat[np.repeat(start[seq] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
-
-
-def pack(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
-    """A block of documents, each given by its token ids as uint16 bytes."""
-    end = np.array([END], np.uint16).tobytes()
-    seq, rules = compress(np.frombuffer(end.join([*ids, b""]), np.uint16))
-    first = np.concatenate(([0], np.flatnonzero(seq == END)[:-1] + 1)).astype(np.uint32)
-    counts = np.array([len(x) // 2 + 1 for x in ids], np.uint32)
-    head = MAGIC + struct.pack("<3I", len(ids), len(rules), len(seq))
-    parts = (np.array([x or 0 for x in doc_ids], "<i8"), np.array([x is None for x in doc_ids], np.uint8), first, counts, rules.T.astype("<u2"), lengths(rules).astype("<u4"), seq.astype("<u2"))
+def pack(doc_ids: list[int | None], ids: np.ndarray, counts: np.ndarray, end: int) -> bytes:
+    """A block of documents by their token ids, joined with `end` after each, and how many each has with that."""
+    seq, rules, lengths = compress(ids, end)
+    first = np.concatenate(([0], np.flatnonzero(seq == end)[:-1] + 1)).astype("<u4")
+    head = MAGIC + struct.pack("<4I", len(doc_ids), len(rules), len(seq), end)
+    parts = (np.array([x or 0 for x in doc_ids], "<i8"), np.array([x is None for x in doc_ids], np.uint8), first, counts.astype("<u4"), rules.T.astype("<u4"), lengths.astype("<u4"), seq.astype("<u4"))
     return head + b"".join(x.tobytes() for x in parts)
 
 
@@ -170,8 +312,8 @@ class Block:
     def __init__(self, payload: bytes) -> None:
         if payload[:8] != MAGIC:
             raise ValueError("not a Re-Pair block")
-        n, r, m = struct.unpack_from("<3I", payload, 8)
-        at = 20
+        n, r, m, self.end = struct.unpack_from("<4I", payload, 8)
+        at = 24
 
         def take(kind: str, count: int) -> np.ndarray:
             nonlocal at
@@ -180,59 +322,67 @@ class Block:
             return out
 
         self.doc_ids, self.null, self.first, self.counts = take("<i8", n), take("u1", n), take("<u4", n), take("<u4", n)
-        self.rules = take("<u2", 2 * r).reshape(2, r).T
-        self.lengths, self.seq = take("<u4", r), take("<u2", m)
+        self.rules = take("<u4", 2 * r).reshape(2, r).T
+        self.lengths, self.seq = take("<u4", r), take("<u4", m)
 
     def decode(self, i: int) -> np.ndarray:
-        end = self.first[i + 1] if i + 1 < len(self.first) else len(self.seq)
-        return expand(self.seq[self.first[i] : end], self.rules)
+        stop = self.first[i + 1] if i + 1 < len(self.first) else len(self.seq)
+        return expand(self.seq[self.first[i] : stop], self.rules, self.lengths, self.end)
 
     def decode_all(self) -> list[np.ndarray]:
-        return np.split(expand(self.seq, self.rules), np.cumsum(self.counts, dtype=np.int64)[:-1])
+        return np.split(expand(self.seq, self.rules, self.lengths, self.end), np.cumsum(self.counts, dtype=np.int64)[:-1])
 
 
 def write_tokens(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Encode docs (doc_id, text) in ascending doc_id order into blocks; returns the files as read back.
 
-    Rows (shard, block, n_docs, n_tokens, payload). One shuffle deals texts by ranges of doc_id; a task then holds one
+    Rows (shard, before, n_docs, n_tokens, payload), `before` being the tokens of the shard's blocks before. One shuffle deals texts by ranges of doc_id; a task then holds one
     block at a time. Null text: empty. Null ids come first. Ties of doc_id go by text; repeated rows stay.
     """
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, encode = TaskContext.get().partitionId(), encoder(tokenizer).encode
-        block, held, who, tokens = 0, [], [], 0
+        shard, encode = TaskContext.get().partitionId(), encoder(tokenizer)
+        before, held, who, counts, tokens = 0, [], [], [], 0
 
         def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([len(who)], pa.int32()), pa.array([tokens], pa.int64()), pa.array([pack(who, held)], pa.binary())], names=["shard", "block", "n_docs", "n_tokens", "payload"])
+            payload = pack(who, np.concatenate(held), np.concatenate(counts), encode.end)
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([before], pa.int64()), pa.array([len(who)], pa.int32()), pa.array([tokens], pa.int64()), pa.array([payload], pa.binary())], names=["shard", "before", "n_docs", "n_tokens", "payload"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, DOCS):
-                some = batch.slice(at, DOCS)
-                for doc_id, ids in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist()), strict=True):
-                    held.append(ids)
-                    who.append(doc_id)
-                    tokens += len(ids) // 2 + 1
+            doc_ids, texts, at = batch.column(0).to_pylist(), batch.column(1), 0
+            upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+            while at < batch.num_rows:
+                past = upto[at - 1] if at else 0
+                stop = max(at + 1, int(np.searchsorted(upto, past + BYTES, "right")))
+                ids, n = encode.encode(texts.slice(at, stop - at))
+                ends, low = np.cumsum(n), 0
+                while low < len(n):
+                    done = ends[low - 1] if low else 0
+                    high = min(len(n), int(np.searchsorted(ends, done + BLOCK - tokens)) + 1)
+                    held.append(ids[done : ends[high - 1]])
+                    counts.append(n[low:high])
+                    who += doc_ids[at + low : at + high]
+                    tokens += int(ends[high - 1] - done)
+                    low = high
                     if tokens >= BLOCK:
                         yield row()
-                        block, held, who, tokens = block + 1, [], [], 0
+                        before, held, who, counts, tokens = before + tokens, [], [], [], 0
+                at = stop
         if who:
             yield row()
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     dealt = docs.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return cut(dealt.mapInArrow(step, "shard int, block int, n_docs int, n_tokens long, payload binary"), "tokens")
+    return cut(dealt.mapInArrow(step, "shard int, before long, n_docs int, n_tokens long, payload binary"), "tokens")
 
 
 def read_digest(files: DataFrame) -> DataFrame:
     """Per document of the files: doc_id, start, n_tokens, ids_crc32, in the order of the files."""
-    narrow = files.select("shard", "block", "n_tokens")
-    whole = narrow.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    upto = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    within = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    base = whole.select("shard", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base"))
-    at = narrow.withColumn("inside", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(base, "shard").select("shard", "block", (F.col("base") + F.col("inside")).alias("start"))
+    upto = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    # a row per task that wrote, so that no payload is shuffled
+    base = files.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base"))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,7 +392,7 @@ def read_digest(files: DataFrame) -> DataFrame:
                 counts = block.counts.astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(block.doc_ids, mask=block.null.astype(bool)), pa.array(start + np.cumsum(counts) - counts), pa.array(counts), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.join(at, ["shard", "block"]).select("start", "payload").mapInArrow(step, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.join(F.broadcast(base), "shard").select((F.col("base") + F.col("before")).alias("start"), "payload").mapInArrow(step, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(docs: DataFrame, tokenizer: str) -> DataFrame:
