@@ -331,7 +331,7 @@ def test_banded_alignment_equals_full_alignment():
             k = r.randrange(len(b))
             b[k : k + 1] = r.choice(([], [97], [98, 99]))
         text = b"x" * 7 + bytes(b) + b"y" * 9
-        assert min(5, qgrams.banded(a, text, 4, 7)) == min(5, distance(a, text))
+        assert min(5, qgrams.banded(a, text, 4, 7, 5)) == min(5, distance(a, text))
 
 
 def test_leaks_against_brute_force():
@@ -355,6 +355,49 @@ def test_leaks_against_brute_force():
                 break
 
 
+def test_every_length_is_found_at_its_full_budget():
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 8)))
+    for m in range(1, 121):
+        for _ in range(6):
+            letters = "".join(r.choice("qrstuvwxyz") for _ in range(m))
+            index = qgrams.Index([(7, " ".join(re.findall(".{1,5}", letters)))])
+            b, room = list(letters), min(m, qgrams.PASSAGE)
+            one_way = r.random() < 0.4
+            for _ in range(int(room * qgrams.RATE)):
+                k = r.randrange(min(room, len(b)))
+                b[k : k + 1] = [] if one_way else r.choice(([], ["#"], [b[k], "7"], ["7", b[k]], ["8"]))
+            b = "".join(b).replace("#", "9")
+            own = " ".join(word() for _ in range(60))
+            where = r.choice((0, 150, len(own)))
+            text = own[:where] + " " + b + " " + own[where:]
+            assert {x for x, _, _ in index.leaks(text)} == {7}, (m, letters, b)
+            assert index.leaks(own) == []
+    assert qgrams.Index([(1, "yes")]).leaks("no yesterday") == [] and qgrams.Index([(1, "Yes, no")]).leaks("well YES! no.") == [(1, 4, 9)]
+
+
+def test_found_equals_distance():
+    """Few letters, so that much is near: an item is found if and only if a passage is within its edits."""
+    r = random.Random(13)
+    for _ in range(150):
+        items = [(i, "".join(r.choice("ab") for _ in range(r.choice((8, 9, 12, 20, 30, 41, 64, 90))))) for i in range(4)]
+        index = qgrams.Index(items)
+        text = "".join(r.choice("ab") for _ in range(120))
+        near = {index.item[k] for k, p in enumerate(index.passages) if distance(p, text.encode()) <= index.edits[k]}
+        assert {x for x, _, _ in index.leaks(text)} == near
+
+
+def test_benchmark_in_blocks(spark, monkeypatch):
+    r = random.Random(14)
+    texts = [" ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(30)) for _ in range(12)]
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    rows = docs(spark, [(i % 5, f"so {texts[i % 12]} and {texts[(i * 5) % 12]}") for i in range(20)] + [(None, texts[3]), (9, "clean")])
+    one, kept = (sorted(map(str, x.collect())) for x in (qgrams.find_leaks(rows, bench), qgrams.decontaminate(rows, bench)))
+    monkeypatch.setattr(qgrams, "MOST", 500)
+    assert sorted(map(str, qgrams.find_leaks(rows, bench).collect())) == one and len(one) == 21
+    assert sorted(map(str, qgrams.decontaminate(rows, bench).collect())) == kept and len(kept) == 1
+
+
 def test_decontaminate_tables(spark):
     bench = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog again and again"), (2, None), (None, "x" * 90), (3, "short"), (4, "")], "item_id long, text string")
     rows = docs(spark, [(1, "so THE QUICK, brown fox jumps over the lazy dog again and again, he said"), (2, "clean"), (3, None), (4, "")]).withColumn("item_id", F.lit(5))
