@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.shared import cut
 
-#: A chunk has so many lines on average; kinds of boundaries, each a chunking of its own.
-LINES, CHUNKINGS = 2, 4
-#: A chunk of one line counts from so many bytes on.
-ALONE = 256
+#: A chunk has so many lines on average; the base and modulus of the rolling hash, whose products fit 64 bits.
+LINES, BASE, MODULUS = 3, 1_000_003, (1 << 31) - 1
 #: Every passage of over so many words is found, whatever stands around it.
 WORDS = 50
 
@@ -19,13 +17,19 @@ def line_hashes(text: str = "text") -> Column:
     return F.transform(F.split(F.col(text), "\n"), lambda x: F.xxhash64(x))
 
 
-def boundary(seed: int, line: Column, before: Column) -> Column:
-    """Whether a chunk starts at the line, by its hash and that of the line before.
+def rolling(hashes: Column) -> Column:
+    """The polynomial rolling hash of each two lines in a row, by the hashes of the lines."""
+    n = F.greatest(F.size(hashes) - 1, F.lit(0))
+    digit = lambda x: F.pmod(x, F.lit(MODULUS))
+    return F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, 2, n), lambda a, b: F.pmod(digit(a) * BASE + digit(b), F.lit(MODULUS)))
 
-    Even seeds look at the line alone, so a passage starts a chunk wherever it stands; odd ones look at the line
-    before alone, so it ends one; a rolling pair would need both to be inside.
+
+def starts(rolled: Column) -> Column:
+    """The lines, from 1, at which chunks start, but for the first: those behind two lines whose hash is a multiple of LINES.
+
+    A boundary depends on the two lines before it alone, so what is inserted elsewhere does not shift it.
     """
-    return F.pmod(F.xxhash64(line if seed % 2 == 0 else before, F.lit(seed)), F.lit(LINES)) == 0
+    return F.filter(F.transform(rolled, lambda r, k: F.when(F.pmod(r, F.lit(LINES)) == 0, k + 3).otherwise(0)), lambda s: s > 0)
 
 
 def word_lines(text: str = "text") -> Column:
@@ -59,29 +63,25 @@ def shortest_runs(at: Column) -> Column:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, first, last, h): the chunks of each chunking and the shortest runs of docs (doc_id, th, text), lines from 1."""
-    docs = docs.select("doc_id", "th", line_hashes().alias("lh"), F.transform(F.split("text", "\n"), lambda x: F.octet_length(x)).alias("size"), word_lines().alias("at"))
-    docs = docs.select("doc_id", "th", "lh", "size", shortest_runs(F.col("at")).alias("runs"))
-    lh, n = F.col("lh"), F.size("lh")
-
-    def starting(seed: int) -> Column:
-        return F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | boundary(seed, F.get(lh, i - 1), F.get(lh, i - 2)))
-
-    def spans(starts: Column) -> Column:
-        return F.transform(starts, lambda s, k: span(s, F.coalesce(F.get(starts, k + 1) - 1, n)))
-
-    for seed in range(CHUNKINGS):
-        docs = docs.withColumn(f"s{seed}", starting(seed))
-    x = F.array_distinct(F.concat(*[spans(F.col(f"s{seed}")) for seed in range(CHUNKINGS)]))  # chunkings may agree on a chunk
-    x = F.filter(x, lambda c: (opened(c)[1] > opened(c)[0]) | (F.get(F.col("size"), opened(c)[0] - 1) >= ALONE))
-    x = F.array_union(x, F.col("runs"))
-    docs = docs.where("size(lh) > 0").select("doc_id", "th", "lh", F.explode(x).alias("x"))
+    """(doc_id, th, first, last, h): chunks of several lines and the shortest runs of docs (doc_id, th, text), lines from 1.
+
+    Rows with a null text have none; repeated rows repeat theirs.
+    """
+    docs = docs.select("doc_id", "th", line_hashes().alias("lh"), word_lines().alias("at"))
+    docs = docs.select("doc_id", "th", "lh", shortest_runs(F.col("at")).alias("runs"), starts(rolling(F.col("lh"))).alias("starts"))
+    firsts, lasts = F.concat(F.array(F.lit(1)), "starts"), F.concat(F.transform("starts", lambda s: s - 1), F.array(F.size("lh")))
+    # a boundary behind the last line starts nothing; chunks of one line count as runs only, by their words
+    x = F.filter(F.zip_with(firsts, lasts, span), lambda c: opened(c)[1] > opened(c)[0])
+    docs = docs.where("size(lh) > 0").select("doc_id", "th", "lh", F.explode(F.array_union(x, F.col("runs"))).alias("x"))
     first, last = opened(F.col("x"))
     return docs.select("doc_id", "th", first.alias("first"), last.alias("last"), F.xxhash64(F.slice("lh", first, last - first + 1)).alias("h"))
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, first, last) of chunks whose bytes also stand in an earlier place, by (doc_id, th, line)."""
+    """(doc_id, th, first, last) of chunks whose bytes also stand in an earlier place, by (doc_id, th, line).
+
+    Null doc_ids come first; rows that repeat doc_id and text share their places.
+    """
     found = cut(chunks(docs), "chunks")  # read twice
     place = F.struct("doc_id", "th", "first", "last")
     known = found.groupBy("h").agg(F.min(place).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -104,9 +104,9 @@ def repeated(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) with the lines of globally repeated chunks removed, and dedup_lines, dedup_removed added.
 
-    A chunk is a run of lines between content-defined boundaries, so an insertion elsewhere doesn't shift it; it counts
-    if it has several lines or one of at least 256 bytes. The shortest runs of over 50 words from and to each line are
-    chunks too, so a repeated passage of whole lines of over 50 words is found whatever its neighbours. A chunk stays
+    A chunk is a run of lines between boundaries that a rolling hash over line hashes chooses, so an insertion elsewhere
+    doesn't shift it; it counts if it has several lines. The shortest runs of over 50 words from and to each line are
+    chunks too, one line maybe, so a repeated passage of whole lines of over 50 words is found whatever its neighbours. A chunk stays
     at its first place by (doc_id, hash of the text, line) and goes elsewhere once its bytes have been compared. Rows
     that repeat doc_id and text count as one document and are treated alike. Null texts stay null with 0 lines; an
     empty text has one line; a text whose lines all go becomes empty. All columns of docs stay, whatever their names.
