@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 
@@ -14,9 +15,10 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 #: Labels of tokens: 0 is none of the kinds.
 LABELS = 1 + len(KINDS)
-#: Tokens and documents that the model is fitted on, at most (about); rounds of message passing; its damping; the
-#: least marginal of an added span's token.
-TOKENS, DOCS, ROUNDS, DAMP, SURE = 60_000, 20_000, 12, 0.3, 0.9
+#: What the model is fitted on at most, about: tokens, documents, and tokens of a document outside personal data.
+TOKENS, DOCS, PLAIN = 60_000, 20_000, 40
+#: Rounds of message passing; its damping; the least marginal of an added span's token; the most a pair's potential says.
+ROUNDS, DAMP, SURE, MOST = 12, 0.3, 0.9, 5.0
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -25,6 +27,9 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")
+MASKED = re.compile(r"(?<!\S)[^\s(\[]*+(?:[(\[](?!(?:at|dot)[)\]])[^\s(\[]*+)*+[(\[](?:at|dot)[)\]]\S*+", re.IGNORECASE)
+AT = re.compile(r"@|[(\[]at[)\]]", re.IGNORECASE)
+JOINT = re.compile(r"[(\[](?:at|dot)[)\]]|[^0-9a-z]")
 LOCALS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -73,19 +78,17 @@ def trimmed(token: str) -> tuple[str, int]:
     return bare, token.find(bare) if bare else 0
 
 
-def features(bare: str, before: bool, after: bool) -> list[float]:
-    digits = re.sub(r"[^0-9]", "", bare)
-    parts = bare.split(".")
-    n = len(digits)
+def features(bare: str, before: bool, after: bool, run: int) -> list[float]:
+    """Of the token's shape, without what the base patterns ask for; run: the digits of the numbers around it."""
+    n = sum(c.isdigit() for c in bare)
+    masked = bool(MASKED.match(bare)) if "(" in bare or "[" in bare else False
+    parts = re.split(r"[^0-9]+", bare.strip("+")) if len(bare) < 60 else []
     return [
         1.0,
         float("@" in bare),
-        float(bool(re.fullmatch(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", bare))) if len(bare) < 400 else 0.0,
-        float(len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)),
-        float(16 <= n <= 19 and not re.search(r"[^0-9-]", bare) and luhn(digits)),
+        float(masked),
+        float(len(parts) == 4 and all(p and len(p) <= 3 for p in parts)),
         float(16 <= n <= 19),
-        float(bare[:1] == "+"),
-        float(bare[:1] == "+" and 8 <= n <= 15),
         float(8 <= n <= 15),
         min(n, 20) / 10,
         float(n == len(bare)),
@@ -93,54 +96,141 @@ def features(bare: str, before: bool, after: bool) -> list[float]:
         n / max(1, len(bare)),
         float(before),
         float(after),
+        float(8 <= run <= 15),
+        float(16 <= run <= 19),
+        float(n == 0 and not masked),
     ]
 
 
 WIDTH = 15
 
 
+def letters(token: str) -> str:
+    """The token's letters and digits, lower-case, however it is joined."""
+    return JOINT.sub("", token.lower())
+
+
+def local_part(token: str) -> str:
+    """Of an address the part before the @, if it is no mere word: six letters or digits with a digit or a joint."""
+    part = AT.split(token)[0]
+    return letters(part) if len(letters(part)) >= 6 and re.search(r"[0-9._+-]", part) else ""
+
+
+def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, int, int]]:
+    """(start, end, bare, first, last) of tokens with a digit or @, masked addresses, and tokens like a known address."""
+    found = {m.start(): m for m in TOKEN.finditer(text)}
+    if "(" in text or "[" in text:
+        found |= {m.start(): m for m in MASKED.finditer(text)}
+    known = {x for k, s, e in base if k == 0 for x in (letters(text[s:e]), local_part(text[s:e])) if x}
+    if known:
+        longest = 2 * max(map(len, known)) + 20
+        for m in re.finditer(r"\S+", text):
+            if m.start() not in found and m.end() - m.start() <= longest and letters(m[0]) in known:
+                found[m.start()] = m
+    out = []
+    for at in sorted(found):
+        m = found[at]
+        bare, skipped = trimmed(m[0])
+        if bare:
+            out.append((at + skipped, at + skipped + len(bare), bare, at, m.end()))
+    return out
+
+
 class Tokens:
-    """The candidate tokens (those with a digit or @) of some texts as one graph: chain and skip edges."""
+    """The candidate tokens of some texts as one graph: chain edges of neighbours, skip edges of tokens that repeat or resemble.
+
+    Tokens resemble each other if their letters and digits are the same; if they are numbers, alone or several in a
+    row, of which the last seven digits are; or if one is the local part of the other's address. With truth (spans as
+    base ones), y has the labels of both.
+    """
 
-    def __init__(self, texts: list[str], spans: list[list[tuple[int, int, int]]]) -> None:
-        doc, start, end, rows, label, chain, skip = [], [], [], [], [], [], []
+    def __init__(self, texts: list[str], spans: list[list[tuple[int, int, int]]], truth: list[list[tuple[int, int, int]]] | None = None) -> None:
+        doc, start, end, rows, label, y, chain, skip = [], [], [], [], [], [], [], []
         for d, text in enumerate(texts):
-            first = len(doc)
             last: dict[str, int] = {}
             base = sorted((s, e, k) for k, s, e in spans[d])
-            at = 0
-            found = []
-            for m in TOKEN.finditer(text):
-                bare, skipped = trimmed(m[0])
-                if bare:
-                    found.append((m.start() + skipped, m.start() + skipped + len(bare), bare, m.start(), m.end()))
+            more = sorted((s, e, k) for k, s, e in truth[d]) if truth else []
+            found = candidates(text, spans[d])
+            near = [False] + [text[x[4] : z[3]].isspace() for x, z in zip(found[:-1], found[1:], strict=True)] + [False]
+            digits = [re.sub(r"[^0-9]", "", x[2]) for x in found]
+            number = [bool(n) and not re.search(r"[^\W0-9_]|@", x[2]) for n, x in zip(digits, found, strict=True)]
+            first = 0
             for i, (s, e, bare, _, _) in enumerate(found):
-                near = lambda j: 0 <= j < len(found) and text[found[min(i, j)][4] : found[max(i, j)][3]].isspace()  # noqa: B023, E731
                 here = len(doc)
+                if not (i and near[i] and number[i] and number[i - 1]):
+                    first = i
+                stop = i + 1
+                while number[i] and stop < min(len(found), first + 8) and near[stop] and number[stop]:
+                    stop += 1
+                run = "".join(digits[first:stop]) if number[i] and stop - first <= 8 else digits[i]
                 doc.append(d)
                 start.append(s)
                 end.append(e)
-                rows.append(features(bare, near(i - 1), near(i + 1)))
-                while at < len(base) and base[at][1] <= s:
-                    at += 1
-                over = [k for b, c, k in base[at : at + 4] if b < e and s < c]
+                rows.append(features(bare, near[i], near[i + 1], len(run)))
+                over = [k for b, c, k in base if b < e and s < c]
                 label.append(over[0] + 1 if over else 0)
-                if near(i - 1):
+                over = over or [k for b, c, k in more if b < e and s < c]
+                y.append(over[0] + 1 if over else 0)
+                if near[i]:
                     chain.append((here - 1, here))
-                # repeated tokens and tokens alike in their digits or up to case are linked to the one before
-                keys = {"t" + re.sub(r"[^0-9a-z@]", "", bare.lower())}
-                if len(number := re.sub(r"[^0-9]", "", bare)) >= 6:
-                    keys.add("n" + number)
+                keys = set()
+                if len(whole := letters(bare)) >= 4:
+                    keys |= {"t" + whole, "l" + whole}
+                if "@" in bare or rows[-1][2]:
+                    keys |= {"l" + x for x in [local_part(bare)] if x}
+                if number[i] and len(run) >= 7:
+                    behind = len("".join(digits[i + 1 : stop]))
+                    keys.add(f"n{run[-7:]}:{behind}")
                 for key in sorted(keys):
                     if key in last:
                         skip.append((last[key], here))
                     last[key] = here
-            assert first <= len(doc)
         self.doc, self.start, self.end = np.array(doc, int), np.array(start, int), np.array(end, int)
-        self.x, self.label = np.array(rows, float).reshape(-1, WIDTH), np.array(label, int)
+        self.x, self.label, self.y = np.array(rows, float).reshape(-1, WIDTH), np.array(label, int), np.array(y, int)
         self.chain, self.skip = (np.array(sorted(set(e)), int).reshape(-1, 2) for e in (chain, skip))
 
 
+def variant(kind: int, span: str, r: random.Random) -> str:
+    """The same data written so that its base pattern misses it."""
+    if kind == 0:
+        local, domain = span.split("@", 1)
+        return local + r.choice(("(at)", "[at]", "(AT)")) + domain
+    if kind == 1:
+        return span.replace(".", r.choice("-,_/"))
+    digits = re.sub(r"[^0-9]", "", span)
+    if kind == 2:
+        return r.choice("./_").join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    return r.choice((digits, digits[-10:], span.lstrip("+"), "00" + digits, "/".join((digits[:3], digits[3:])), " ".join((digits[:-7], digits[-7:-4], digits[-4:]))))
+
+
+def decoy(text: str, r: random.Random) -> str:
+    """Something of the same shape: other digits, and other letters but for how an address is masked."""
+    parts = re.split(r"([(\[](?:at|dot)[)\]])", text, flags=re.IGNORECASE)
+    other = lambda c: str(r.randrange(10)) if c.isdigit() else r.choice("abcdefghijklmnopqrstuvwxyz") if c.isalpha() else c
+    return "".join(x if i % 2 else "".join(map(other, x)) for i, x in enumerate(parts))
+
+
+def augmented(text: str, r: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text with a variant of each base span (the first eight) and a decoy of its shape put between words; the variants' spans.
+
+    Nothing but its likeness to the span tells a variant from a decoy, so a model of the text learns to go by that.
+    """
+    base = base_spans(text)
+    gaps = [m.end() for m in re.finditer(r"\s", text) if not any(s < m.end() <= e for _, s, e in base)] + [len(text)]
+    new = []
+    for k, s, e in base[:8]:
+        v = variant(k, text[s:e], r)
+        new += [(r.choice(gaps), k, v), (r.choice(gaps), -1, decoy(v, r))]
+    out, spans, at, done = [], [], 0, 0
+    for gap, k, v in sorted(new):
+        out += [text[done:gap], " ", v, " "]
+        at += gap - done + 1
+        if k >= 0:
+            spans.append((k, at, at + len(v)))
+        at, done = at + len(v) + 1, gap
+    return "".join([*out, text[done:]]), spans
+
+
 class SkipChain:
     """Node, chain and skip potentials, each fitted on its own factors (piecewise training)."""
 
@@ -158,11 +248,14 @@ class SkipChain:
             g = x.T @ (target - p) / len(x) - 1e-4 * self.node
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             self.node = self.node + 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        # what a pair says beyond its tokens: its share over the shares of its labels, of a chain's among its own edges, as
+        # any two tokens may be neighbours; of a skip edge's among the tokens that nodes are fitted to, as a likeness is news
+        tokens = (np.bincount(y, minlength=LABELS) + 0.5) / (len(y) + 0.5 * LABELS)
         for name, counts in (("chain", chain), ("skip", skip)):
             both = counts + counts.T + 0.5
             share = both / both.sum()
-            alone = share.sum(axis=1)
-            setattr(self, name, np.clip(np.log(share / np.outer(alone, alone)), -2.0, 2.0))
+            alone = share.sum(axis=1) if name == "chain" else tokens
+            setattr(self, name, np.clip(np.log(share / np.outer(alone, alone)), -MOST, MOST))
 
     def marginals(self, graph: Tokens) -> np.ndarray:
         """Loopy sum-product over all documents' graphs at once; tokens of base spans are held at their label."""
@@ -211,23 +304,30 @@ class SkipChain:
 
 
 def fitted(docs: DataFrame) -> SkipChain | None:
-    """A model whose labels are the base patterns', on about TOKENS tokens of about DOCS documents drawn by a hash."""
+    """A model of about DOCS documents drawn by a hash of id and text, with variants of the base patterns' spans (see `augmented`).
+
+    Labels are the base patterns' and the variants'. Of a document all tokens of either are learnt from and PLAIN others.
+    """
     docs = docs.where("text is not null")
     rate = min(1.0, DOCS / max(1, docs.count()))
-    drawn = docs.where(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(13)), 11) / float(1 << 53) < rate).where(F.col("text").rlike("[0-9@]"))
+    mark = F.xxhash64("doc_id", "text", F.lit(13))
+    drawn = docs.select("text", mark.alias("mark")).where(F.shiftrightunsigned("mark", 11) / float(1 << 53) < rate).where(F.col("text").rlike("[0-9@]"))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0):
-                t = text.as_py()
-                g = Tokens([t], [base_spans(t)])
+            for text, mark in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                r = random.Random(mark)
+                t, truth = augmented(text.as_py(), r)
+                g = Tokens([t], [base_spans(t)], [truth])
                 if not len(g.doc):
                     continue
-                edge = [np.bincount(g.label[e[:, 0]] * LABELS + g.label[e[:, 1]], minlength=LABELS**2).tolist() for e in (g.chain, g.skip)]
-                keep = slice(0, 40)  # tokens learnt from a document, so that the driver gets 100 MB at most
-                yield pa.RecordBatch.from_arrays([pa.array([g.x[keep].ravel().tolist()]), pa.array([g.label[keep].tolist()]), pa.array([edge[0]]), pa.array([edge[1]])], names=["x", "y", "chain", "skip"])
+                edge = [np.bincount(g.y[e[:, 0]] * LABELS + g.y[e[:, 1]], minlength=LABELS**2).tolist() for e in (g.chain, g.skip)]
+                plain = np.flatnonzero(g.y == 0).tolist()
+                keep = np.flatnonzero(g.y > 0).tolist()[:PLAIN] + sorted(r.sample(plain, min(PLAIN, len(plain))))
+                yield pa.RecordBatch.from_arrays([pa.array([mark]), pa.array([g.x[keep].ravel().tolist()]), pa.array([g.y[keep].tolist()]), pa.array([edge[0]]), pa.array([edge[1]])], names=["mark", "x", "y", "chain", "skip"])
 
-    got = drawn.select("text").mapInArrow(step, "x array<double>, y array<long>, chain array<long>, skip array<long>").limit(TOKENS // 3).toArrow()
+    rows = drawn.mapInArrow(step, "mark long, x array<double>, y array<long>, chain array<long>, skip array<long>")
+    got = rows.orderBy("mark").limit(TOKENS // 3).toArrow()
     if not got.num_rows:
         return None
     x = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, WIDTH)
@@ -246,7 +346,8 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 def find_personal(docs: DataFrame) -> DataFrame:
     """Spans of personal data in docs (doc_id, text), in code points, ends exclusive.
 
-    Returns doc_id, n_email, n_ip, n_card, n_phone (base patterns), base_sha256 of their spans, spans (all, those that
+    The model adds what resembles a base span of the same document: an address masked or its local part alone, numbers
+    with other separators or without a country code. Returns doc_id, n_email, n_ip, n_card, n_phone (base patterns), base_sha256 of their spans, spans (all, those that
     the CRF adds included) and n_added. Null text: empty; an empty text has no span. A row per input row, repeated
     rows alike; an empty table gives an empty result.
     """

@@ -547,13 +547,47 @@ def test_repeated_tokens_share_labels():
 
 def test_spans_are_added_outside_base_ones():
     model = pii.SkipChain()
-    model.node[0, 0], model.node[4, 3] = 4, 12  # none by default, a card by its check digit
+    model.node[0, 0], model.node[4, 3] = 4, 12  # none by default, a card by its digits
     texts = ["card 12 4111111111111111 56", "4111111111111111"]  # the first one's base match is too long
     base = [pii.base_spans(t) for t in texts]
     assert base == [[], [(2, 0, 16)]]
     assert model.added(pii.Tokens(texts, base), base) == [[(2, 8, 24)], []]
 
 
+def personal(i):
+    return [f"u{i}.x@mail.example.org", f"10.{i % 250}.3.41", "4111 1111 1111 1111" if i % 2 else "5500000000000004", f"+49 30 {1000000 + 7919 * i}"][i % 4]
+
+
+def prose(r, n):
+    return " ".join(r.choice(["one", "two", "three", "four", str(r.randrange(3000)), f"{r.randrange(10**9)}"] if r.random() < 0.1 else ["one", "two", "three"]) for _ in range(n))
+
+
+def test_likeness_alone_adds_spans(spark):
+    """With a fitted model a variant is found if its span stands in the document, and neither it nor a decoy without it."""
+    r = random.Random(2)
+    rows = [(i, prose(r, 15) + f" {personal(i)} " + prose(r, 15)) for i in range(400)]
+    model = pii.fitted(docs(spark, rows))
+    found = wrong = alone = total = 0
+    for i in range(1000, 1200):
+        span = personal(i)
+        v = pii.variant(i % 4, span, r)
+        d = pii.decoy(v, r)
+        text = f"{prose(r, 9)} {v} {prose(r, 9)} {span} {prose(r, 9)} {d} {prose(r, 9)}"
+        base = [pii.base_spans(text)]
+        added = model.added(pii.Tokens([text], base), base)[0]
+        at = text.index(f" {v} ") + 1
+        total += 1
+        found += any(k == i % 4 and at <= s < at + len(v) for k, s, _ in added)
+        wrong += any(not (at <= s < at + len(v)) for _, s, _ in added)
+        text = text.replace(span, "nothing")
+        base = [pii.base_spans(text)]
+        alone += bool(model.added(pii.Tokens([text], base), base)[0])
+    assert found >= 0.9 * total and wrong <= 0.03 * total and alone <= 0.03 * total, (found, wrong, alone, total)
+    text = "mail anna.berg7@example.org or ask Anna.Berg7 today; anna.berg8 is another"
+    base = [pii.base_spans(text)]
+    assert pii.joined(model.added(pii.Tokens([text], base), base)[0]) == "email:35:45"
+
+
 def test_find_personal(spark):
     r = random.Random(1)
     rows = []
