@@ -1,65 +1,81 @@
 """SimHash near-duplicate classes found with BK-trees.
 
-A BK-tree over all fingerprints of a large corpus neither fits one machine nor prunes enough, and its size has no
-bound that would allow a broadcast. So fingerprints are dealt into buckets such that any two within the radius meet
-in one, a bucket is cut into shards of at most ``SHARD`` distinct fingerprints, and a BK-tree is built per shard;
-every pair of shards of a bucket meets in one task. No pair of documents is ever emitted: a task returns the links of
-a spanning forest, and connected components join those over buckets.
+A BK-tree over all fingerprints of a large corpus neither fits one machine nor has a size that would allow a broadcast.
+So fingerprints are dealt into buckets such that any two within the radius meet in one, a bucket is cut into shards of
+at most ``SHARD`` distinct fingerprints, a BK-tree is built per shard where it is needed, and every pair of shards of a
+bucket meets in one task, where the one's fingerprints follow the other's edges. No pair of documents is ever emitted:
+a task returns the links of a spanning forest, and connected components join those over buckets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import combinations, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm.shared import connected_components, cut
 
 #: Distinct fingerprints in a shard tree at most (as the mean of a hash split).
 SHARD = 4096
-#: Fingerprints in a leaf of a tree before it gets children.
-LEAF = 64
 
 
 class BKTree:
     """Fingerprints as rows of 64-bit words; children are keyed by their integer Hamming distance to the parent.
 
-    A node with at most LEAF fingerprints below it is a leaf, scanned as one array.
+    Row 0 is the root; of the rows that meet at a node at one distance the first is its child and the others go on from
+    there. Rows equal to a node are kept with it. `followed` and `skipped` count the edges of searches so far.
     """
 
-    def __init__(self, words: np.ndarray, ids: np.ndarray | None = None) -> None:
-        ids = np.arange(len(words)) if ids is None else ids
-        self.children: dict[int, BKTree] = {}
-        if len(words) <= LEAF:
-            self.words, self.ids = words, ids
-            return
-        far = distances(words[1:], words[0])
-        self.words, self.ids = words[:1], ids[:1]
-        same = far == 0
-        if same.any():
-            keep = np.concatenate(([True], same))
-            self.words, self.ids = words[keep], ids[keep]
-        for d in np.unique(far[~same]):
-            pick = np.flatnonzero(far == d) + 1
-            self.children[int(d)] = BKTree(words[pick], ids[pick])
-
-    def within(self, query: np.ndarray, radius: int) -> list[np.ndarray]:
-        """Row numbers within the radius, following only edges whose key is within it of the distance to the node."""
-        out, todo = [], [self]
-        while todo:
-            node = todo.pop()
-            far = distances(node.words, query)
-            if (hit := far <= radius).any():
-                out.append(node.ids[hit])
-            if node.children:
-                d = int(far[0])
-                todo += [node.children[k] for k in range(d - radius, d + radius + 1) if k in node.children]
-        return out
+    def __init__(self, words: np.ndarray) -> None:
+        self.words, self.keys = words, 64 * words.shape[1] + 1
+        codes, children, twins = [], [], []
+        rows, node = np.arange(1, len(words)), np.zeros(max(0, len(words) - 1), np.int64)
+        while len(rows):
+            far = distances(words[rows], words[node])
+            same = far == 0
+            twins.append(np.stack((node[same], rows[same])))
+            rows, node, far = rows[~same], node[~same], far[~same]
+            code, first, group = np.unique(node * self.keys + far, return_index=True, return_inverse=True)
+            codes.append(code)
+            children.append(rows[first])
+            node = rows[first][group]
+            rows, node = rows[rows != node], node[rows != node]
+        code = np.concatenate([*codes, np.zeros(0, np.int64)])
+        order = np.argsort(code)
+        self.code, self.child = code[order], np.concatenate([*children, np.zeros(0, np.int64)])[order]
+        twin = np.concatenate([*twins, np.zeros((2, 0), np.int64)], axis=1)
+        self.twin_of, self.twin = twin[:, np.argsort(twin[0], kind="stable")]
+        self.followed = self.skipped = 0
+
+    def within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, row) within the radius. From a node at distance d only edges keyed d - radius to d + radius are followed."""
+        found = []
+        for at in range(0, len(queries), 256):
+            query = np.arange(at, min(at + 256, len(queries)))
+            node = np.zeros(len(query), np.int64) if len(self.words) else np.zeros(0, np.int64)
+            query = query[: len(node)]
+            while len(query):
+                far = distances(queries[query], self.words[node])
+                hit = far <= radius
+                found.append((query[hit], node[hit]))
+                all_ = node * self.keys
+                low = np.searchsorted(self.code, all_ + np.maximum(far - radius, 0))
+                n = np.searchsorted(self.code, all_ + np.minimum(far + radius, self.keys - 1), "right") - low
+                end = np.cumsum(n)
+                self.followed += int(n.sum())
+                self.skipped += int((np.searchsorted(self.code, all_ + self.keys - 1, "right") - np.searchsorted(self.code, all_)).sum() - n.sum())
+                query, node = np.repeat(query, n), self.child[np.repeat(low - (end - n), n) + np.arange(int(n.sum()))]
+        query, node = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        low = np.searchsorted(self.twin_of, node)
+        n = np.searchsorted(self.twin_of, node, "right") - low
+        end = np.cumsum(n)
+        twin = self.twin[np.repeat(low - (end - n), n) + np.arange(int(n.sum()))]
+        return np.concatenate((query, np.repeat(query, n))), np.concatenate((node, twin))
 
 
 def distances(words: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -156,75 +172,79 @@ def similar_texts(texts: pa.ChunkedArray, width: int, similarity: float):
 def forest(words: np.ndarray, first: np.ndarray, second: np.ndarray, radius: int, alike: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
     """Links that connect what is within the radius between two shards (row masks, maybe the same) of words.
 
-    With alike, a pair within the radius links only if that holds too; each is asked, the nearest first, until two
-    labels are one.
+    The first shard is a tree, which the second's rows search. With alike, a pair within the radius links only if that
+    holds too; each is asked, the nearest first, until two labels are one.
     """
     label = np.arange(len(words))
     members: dict[int, list[int]] = {}
-    tree_rows = np.flatnonzero(first)
-    tree, links = BKTree(words[tree_rows], tree_rows), []
-    for q in np.flatnonzero(second):
-        found = tree.within(words[q], radius)
-        if not found:
-            continue
-        hits = np.concatenate(found)
-        if alike is None:
-            _, one = np.unique(label[hits], return_index=True)
-            hits = hits[one]
+    rows, queries = np.flatnonzero(first), np.flatnonzero(second)
+    tree, links = BKTree(words[rows]), []
+
+    def join(q: int, near: int) -> None:
+        links.append((q, near))
+        mine, other = int(label[q]), int(label[near])
+        a, b = members.pop(other, [other]), members.pop(mine, [mine])
+        if len(a) < len(b):
+            a, b, other = b, a, mine
+        label[b] = other
+        members[other] = a + b
+
+    for at in range(0, len(queries), 256):
+        some = queries[at : at + 256]
+        who, found = tree.within(words[some], radius)
+        q, near = some[who], rows[found]
+        both = first[q] & second[near]  # of a pair that meets twice one meeting is enough
+        keep = ((near < q) | ~both) & (label[q] != label[near])
+        q, near = q[keep], near[keep]
+        if alike is None:  # one pair of each two labels
+            _, one = np.unique(label[q] * len(words) + label[near], return_index=True)
+            q, near = q[one], near[one]
         else:
-            hits = hits[(hits < q) | ~(first[q] & second[hits])]  # a pair that meets twice is asked once
-            hits = hits[np.argsort(distances(words[hits], words[q]), kind="stable")]
-        while len(hits := hits[label[hits] != label[q]]):
-            near, hits = int(hits[0]), hits[1:]
-            if alike is not None and not alike(int(q), near):
-                continue
-            other, mine = int(label[near]), int(label[q])
-            links.append((int(q), near))
-            a, b = members.pop(other, [other]), members.pop(mine, [mine])
-            if len(a) < len(b):
-                a, b, other = b, a, mine
-            label[b] = other
-            members[other] = a + b
+            order = np.lexsort((distances(words[near], words[q]), q))
+            q, near = q[order], near[order]
+        for i, j in zip(q.tolist(), near.tolist(), strict=True):
+            if label[i] != label[j] and (alike is None or alike(i, j)):
+                join(i, j)
     return links
 
 
 def bucket_links(radius: int, words: int, width: int = 0, similarity: float = 0.0):
-    """Over rows (bucket, left, right, side, fp) sorted by the first three: links (a, b) of each bucket's shard pair.
+    """Over rows (bucket, part, left, right, side, fp) sorted by the first four: links (a, b) of each bucket's shard pair.
 
-    With a similarity, rows have a text too, and linked texts' sets of `width`-word shingles have that similarity.
+    With a similarity, rows have th and text too, linked texts' sets of `width`-word shingles have that similarity, and
+    links are between their th; else between fingerprints.
     """
 
-    def links_of(table: pa.Table) -> tuple[list, list]:
+    def links_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         n = table.num_rows
         keys = [table.column(c).to_numpy() for c in ("bucket", "part", "left", "right")]
         new = np.ones(n, bool)
         new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
         starts = np.append(np.flatnonzero(new), n)
         fp = table.column("fp").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(n, words)
+        name = table.column("th").to_numpy().view(np.uint64)[:, None] if similarity else fp
         side = table.column("side").to_numpy()
-        a, b = [], []
+        found = []
         for s, e in zip(starts[:-1], starts[1:], strict=True):
             if e - s < 2:
                 continue
             w = fp[s:e]
             asked = similar_texts(table.column("text").slice(s, e - s), width, similarity) if similarity else None
-            if e - s == 2:
+            if e - s == 2:  # a tree of one edge
                 pairs = [(0, 1)] if distances(w[:1], w[1])[0] <= radius and (asked is None or asked(0, 1)) else []
             else:
                 m = side[s:e]
                 pairs = forest(w, m <= 1, m != 1, radius, asked)
-            for i, j in pairs:
-                a.append(w[i])
-                b.append(w[j])
-        return a, b
+            found += [(s + i, s + j) for i, j in pairs]
+        at = np.array(found, np.int64).reshape(-1, 2)
+        return name[at[:, 0]], name[at[:, 1]]
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(table: pa.Table) -> pa.RecordBatch:
-            a, b = links_of(table)
             cols = []
-            for x in (a, b):
-                flat = np.array(x, np.uint64).reshape(-1).view(np.int64)
-                cols.append(pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * words, pa.int32()), pa.array(flat, pa.int64())))
+            for x in links_of(table):
+                flat = pa.array(np.ascontiguousarray(x).reshape(-1).view(np.int64), pa.int64())
+                cols.append(pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), flat))
             return pa.RecordBatch.from_arrays(cols, names=["a", "b"])
 
         held: pa.Table | None = None
@@ -245,16 +265,17 @@ def bucket_links(radius: int, words: int, width: int = 0, similarity: float = 0.
     return step
 
 
-def link_buckets(buckets: DataFrame, radius: int, words: int, shard: int = SHARD, texts: DataFrame | None = None, width: int = 0, similarity: float = 0.0) -> DataFrame:
+def link_buckets(buckets: DataFrame, radius: int, words: int, shard: int | None = None, texts: DataFrame | None = None, width: int = 0, similarity: float = 0.0) -> DataFrame:
     """(bucket, part, fp) with distinct rows -> links (a, b). Buckets over `shard` rows are cut; all shard pairs meet.
 
-    With texts (th, text) and buckets that have a th, links hold only between texts of that similarity.
+    With texts (th, text) and buckets that have a th, links are between th, of texts of that similarity.
     """
+    shard = shard or SHARD
     counts = buckets.groupBy("bucket", "part").agg(F.count("*").alias("n")).where("n > 1")
     met = buckets.join(counts, ["bucket", "part"])
     shards = F.ceil(F.col("n") / shard).cast("int")
-    mine = F.when(F.col("n") > shard, F.pmod(F.xxhash64("fp", F.lit(7)), shards).cast("int")).otherwise(F.lit(0))
     more = [] if texts is None else ["th"]
+    mine = F.when(F.col("n") > shard, F.pmod(F.xxhash64(*(more or ["fp"]), F.lit(7)), shards).cast("int")).otherwise(F.lit(0))
     met = met.select("bucket", "part", "fp", *more, mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.greatest(shards, F.lit(1)) - 1)).alias("other"))
     # side 0: a tree over the rows and queries among them; 1: in the tree; 2: a query
     side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
@@ -262,61 +283,67 @@ def link_buckets(buckets: DataFrame, radius: int, words: int, shard: int = SHARD
     if texts is not None:
         met = cut(met, "met")
         asked = texts.join(met.select("th").distinct().hint("merge"), "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
-        met = met.join(asked.hint("merge"), "th").drop("th")  # at every size alike
+        met = met.join(asked.hint("merge"), "th")  # at every size alike
     # a number of its own: adaptive execution would put these few bytes, dear to search, into a few tasks
     tasks = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = met.repartition(tasks, "bucket", "part", "left", "right").sortWithinPartitions("bucket", "part", "left", "right", "fp")
     return met.mapInArrow(bucket_links(radius, words, width, similarity), "a array<long>, b array<long>")
 
 
-def block_keys(radius: int, bits: int = 64) -> list[tuple[int, ...]]:
-    """The sets of bit blocks that index a fingerprint: of radius + 2 blocks, any two within the radius agree on two."""
-    return list(combinations(range(radius + 2), 2))
+def bits(x: Column, low: int, high: int) -> Column:
+    return F.shiftrightunsigned(x, low).bitwiseAND((1 << (high - low)) - 1)
 
 
 def near_fingerprints(fps: DataFrame, radius: int) -> DataFrame:
     """fps: distinct (fp array of one long). Links between fingerprints at most `radius` bits apart, all of them joined.
 
-    The 64 bits are cut into radius + 2 blocks; two fingerprints within the radius agree on at least two, so they meet
-    in the bucket of those two blocks (32 bits at radius 2). A bucket over SHARD rows is dealt anew by two of the
-    blocks of its other bits, which leaves 65,536 distinct fingerprints in one at most.
+    The 64 bits are cut into radius + 1 blocks; two fingerprints within the radius agree on one at least, so they meet
+    in its bucket. Of a block so many bits count that a bucket holds a shard tree's fingerprints or less; a table of no
+    more is one bucket. A bucket that holds over SHARD all the same is dealt anew by the blocks of its other bits.
     """
-    blocks = radius + 2
+    blocks, x = radius + 1, F.col("fp")[0]
     edges = [64 * i // blocks for i in range(blocks + 1)]
-    x = F.col("fp")[0]
-
-    def bits(lo: int, hi: int):
-        return F.shiftrightunsigned(x, lo).bitwiseAND((1 << (hi - lo)) - 1)
-
-    pairs = block_keys(radius)
-    entry = [F.struct(F.lit(k).alias("part"), F.shiftleft(bits(edges[i], edges[i + 1]), 32).bitwiseOR(bits(edges[j], edges[j + 1])).alias("bucket")) for k, (i, j) in enumerate(pairs)]
+    wide = min(64 // blocks, max(0, (fps.count() - 1) // SHARD).bit_length())
+    parts = range(blocks if wide else 1)
+    entry = [F.struct(F.lit(k).alias("part"), bits(x, edges[k + 1] - wide, edges[k + 1]).alias("bucket")) for k in parts]
     dealt = fps.select("fp", F.explode(F.array(*entry)).alias("e")).select(F.col("e.bucket").alias("bucket"), F.col("e.part").alias("part"), "fp")
     counts = dealt.groupBy("bucket", "part").agg(F.count("*").alias("n")).where("n > 1")
     met = dealt.join(counts, ["bucket", "part"])
-    fine = []
-    for k, (i, j) in enumerate(pairs):
-        rest = [(edges[b], edges[b + 1]) for b in range(blocks) if b not in (i, j)]
-        cells = [(lo + (hi - lo) * h // 2, lo + (hi - lo) * (h + 1) // 2) for lo, hi in rest for h in range(2)]
-        if len(cells) < blocks:
-            fine.append(F.array(F.struct(F.lit(0).alias("sub"), F.lit(0).cast("long").alias("v"))))
-            continue
-        fine.append(F.array(*[F.struct(F.lit(s + 1).alias("sub"), F.shiftleft(bits(*cells[p]), 32).bitwiseOR(bits(*cells[q])).alias("v")) for s, (p, q) in enumerate(combinations(range(len(cells)), 2))]))
     whole = F.array(F.struct(F.lit(0).alias("sub"), F.lit(0).cast("long").alias("v")))
     more = F.when(F.col("n") <= SHARD, whole)
-    for k, f in enumerate(fine):
-        more = more.when(F.col("part") == k, f)
-    met = met.select("bucket", "part", "fp", F.explode(more).alias("e"))
+    for k in parts if wide else ():
+        rest = [(edges[b], edges[b + 1]) for b in range(blocks) if b != k] + [(edges[k], edges[k + 1] - wide)]
+        cells = cells_of(rest, blocks)
+        fine = [F.struct(F.lit(s + 1).alias("sub"), F.xxhash64(*[bits(x, lo, hi) for lo, hi in cell]).alias("v")) for s, cell in enumerate(cells)]
+        more = more.when(F.col("part") == k, F.array(*fine))
+    met = met.select("bucket", "part", "fp", F.explode(more.otherwise(whole)).alias("e"))
     met = met.select(F.when(F.col("e.sub") == 0, F.col("bucket")).otherwise(F.xxhash64("bucket", "e.v")).alias("bucket"), (F.col("part") * 64 + F.col("e.sub")).cast("int").alias("part"), "fp")
     return link_buckets(met, radius, 1)
 
 
-def classes(fp_docs: DataFrame, links: DataFrame) -> DataFrame:
-    """(doc_id, fp), links between fingerprints -> (fp, component_id): the least doc_id of all documents reachable."""
-    least = fp_docs.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    roots = connected_components(links.union(links.select("b", "a").limit(0)))
-    named = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+def cells_of(ranges: list[tuple[int, int]], cells: int) -> list[list[tuple[int, int]]]:
+    """Ranges of bits as so many cells of about as many bits, each a list of ranges."""
+    places = [b for lo, hi in ranges for b in range(lo, hi)]
+    out = []
+    for k in range(cells):
+        mine = places[len(places) * k // cells : len(places) * (k + 1) // cells]
+        cell = []
+        for b in mine:
+            if cell and cell[-1][1] == b:
+                cell[-1] = (cell[-1][0], b + 1)
+            else:
+                cell.append((b, b + 1))
+        out.append(cell)
+    return out
+
+
+def classes(docs: DataFrame, links: DataFrame, name: str = "fp") -> DataFrame:
+    """(doc_id, name), links between names -> (name, component_id): the least doc_id of all documents reachable."""
+    least = docs.groupBy(name).agg(F.min("doc_id").alias("low"))
+    roots = connected_components(links)
+    named = least.join(roots.withColumnRenamed("node", name), name, "left").select(name, "low", F.coalesce("root", name).alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    return named.join(lowest, "root").select("fp", "component_id")
+    return named.join(lowest, "root").select(name, "component_id")
 
 
 def simhash_components(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
@@ -327,7 +354,7 @@ def simhash_components(docs: DataFrame, width: int = 3, radius: int = 2) -> Data
     Columns other than doc_id and text are not read. An empty table gives an empty result.
     """
     fp = cut(fingerprints(docs, width).select("doc_id", "fp"), "fp")
-    links = cut(near_fingerprints(fp.select("fp").distinct(), radius), "links")
+    links = cut(near_fingerprints(cut(fp.select("fp").distinct(), "distinct"), radius), "links")
     named = classes(fp, links)
     return fp.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex(F.col("fp")[0])), 16, "0").alias("fingerprint"), "component_id")
 
@@ -340,13 +367,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, words: int = 4, keys: int =
     estimate's standard error is 0.035 at 256 bits, and sets of four and five shingles differ more than the angle says;
     all from an estimated similarity - slack on is counted, 71 bits. Blocks are minima of `keys` independent hashes of
     the shingle set: documents at 0.8 miss every shared block with a chance of 0.2 ** keys.
-    Nulls, ties, repeated rows and extra columns: as in simhash_components.
+    Texts are told apart by a 64-bit hash; equal ones are one. Null and empty texts have no shingle and are alike. Other
+    nulls, ties, repeated rows and extra columns: as in simhash_components.
     """
     j = similarity - slack
     radius = int(64 * words * np.arccos(2 * j / (1 + j)) / np.pi)
     fp = cut(fingerprints(docs, width, words, keys, hashed=True), "fp")
-    some = fp.groupBy("fp").agg(F.min(F.struct("keys", "th")).alias("m"))
-    dealt = some.select("fp", F.col("m.th").alias("th"), F.posexplode("m.keys").alias("part", "bucket"))
+    each = fp.dropDuplicates(["th"])
+    dealt = each.select("fp", "th", F.posexplode("keys").alias("part", "bucket"))
     texts = docs.select(F.xxhash64(F.col("text").cast("binary")).alias("th"), F.col("text").cast("binary").alias("text"))
-    links = cut(link_buckets(dealt, radius, words, texts=texts, width=width, similarity=similarity), "links")
-    return fp.join(classes(fp, links), "fp").select("doc_id", "component_id")
+    links = link_buckets(dealt, radius, words, texts=texts, width=width, similarity=similarity)
+    links = cut(links.select(F.col("a")[0].alias("a"), F.col("b")[0].alias("b")), "links")
+    return fp.join(classes(fp, links, "th"), "th").select("doc_id", "component_id")

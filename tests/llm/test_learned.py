@@ -151,10 +151,25 @@ def test_shingle_hash_is_that_of_spark(spark):
 def test_tree_finds_what_a_scan_finds():
     r = np.random.default_rng(5)
     x = np.unique(r.integers(0, 64, 900, dtype=np.uint64) * np.uint64(0x0101010101010101) ^ (np.uint64(1) << r.integers(0, 64, 900, dtype=np.uint64)))[:, None]
+    tree = BKTree(np.concatenate((x, x[:50], x[:9])))  # equal rows as well
+    x = tree.words
+    who, found = tree.within(x[::17], 2)
+    for k, q in enumerate(range(0, len(x), 17)):
+        assert sorted(found[who == k].tolist()) == np.flatnonzero(distances(x, x[q]) <= 2).tolist()
+    wide = np.random.default_rng(6).integers(0, 2**63, (300, 4), dtype=np.int64).astype(np.uint64)
+    who, found = BKTree(wide).within(wide[:20], 118)
+    assert sorted(zip(who.tolist(), found.tolist(), strict=True)) == [(i, j) for i in range(20) for j in np.flatnonzero(distances(wide, wide[i]) <= 118).tolist()]
+    assert not len(BKTree(x[:0]).within(x[:3], 2)[0])
+
+
+def test_search_follows_few_edges():
+    """As many fingerprints as a shard holds: a search visits a few hundredths of the tree, by edges of distance-keyed children."""
+    x = np.unique(np.random.default_rng(7).integers(0, 2**63, 4096, dtype=np.int64).astype(np.uint64))[:, None]
+    np.random.default_rng(8).shuffle(x)
     tree = BKTree(x)
-    for q in range(0, len(x), 17):
-        found = tree.within(x[q], 2)
-        assert sorted(np.concatenate(found).tolist()) == np.flatnonzero(distances(x, x[q]) <= 2).tolist()
+    tree.within(x[:512], 2)
+    assert tree.followed > 512 * 20 and tree.skipped > tree.followed and tree.followed < 512 * len(x) * 0.05
+    assert len(tree.code) == len(x) - 1 and (tree.code % tree.keys > 0).all()
 
 
 def test_components_equal_brute_force(spark):
