@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Labelled documents that the model is fitted on, at most (about).
-SAMPLE = 3000
+#: Labelled documents that the model is fitted on, at most (about), and bytes of each.
+SAMPLE, LONG = 3000, 200_000
 KINDS = ("lower", "upper", "digit", "space", "mark", "bar", "bang", "symbol", "line")
 
 
@@ -216,8 +215,9 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LineCRF
     labels = labels.where("quality = other").select("doc_id", "quality")
     rate = min(1.0, sample / max(1, labels.count()))
     drawn = labels.where(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(11)), 11) / float(1 << 53) < rate)
-    # at most about `sample` rows of two numbers; texts over 200 kB aren't learnt from
-    got = docs.where("text is not null and octet_length(text) < 200000").select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "quality").limit(2 * sample).toArrow().sort_by("doc_id")
+    # at most about `sample` rows of two numbers; longer texts than LONG aren't learnt from
+    texts = docs.where(F.col("text").isNotNull() & (F.octet_length("text") < LONG)).select("doc_id", F.col("text").cast("binary").alias("text"))
+    got = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "quality").orderBy("doc_id", "text").limit(2 * sample).toArrow()
     label = (got.column("quality").to_numpy() > 0).astype(int)
     if len(set(label.tolist())) < 2:
         return None
@@ -227,31 +227,41 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LineCRF
     return model
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, keep: list[str] | None = None) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted) of docs (doc_id, text) by labels (doc_id, quality).
 
     score is P(quality = 1) of the whole text, from its lines only; predicted is 1 from `threshold` on. Held out of
     learning: crc32 of doc_id mod 5 is 0. Null texts count as empty. A doc_id with labels that differ isn't learnt
-    from; with labels of one kind only, or none, every score is 1. A row per input row; null ids are never held out.
-    With `keep`, those columns of docs come first, and __score and __predicted alone follow.
+    from; with labels of one kind only, or none, every score is 1. A row per input row, repeated ones alike; null ids
+    are never held out; other columns are not read.
     """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
+
+    def rated(some: pa.RecordBatch, score: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*some.columns[:2], pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+
+    return rows.mapInArrow(scoring(docs, labels, rated), "doc_id long, held_out boolean, score double, predicted int")
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """docs without those that score less than the threshold (see quality_scores); all columns stay, whatever their names."""
+
+    def kept(some: pa.RecordBatch, score: np.ndarray) -> pa.RecordBatch:
+        return some.filter(pa.array(score >= threshold))
+
+    return docs.mapInArrow(scoring(docs, labels, kept), docs.schema)
+
+
+def scoring(docs: DataFrame, labels: DataFrame, out: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch]):
+    """What scores batches with a column text by a model of docs and labels, and gives out() of each part of them."""
     model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
-                texts = [(x or "").encode() for x in some.column(text_at).to_pylist()]
-                score = model.value.score(texts) if model.value else np.ones(len(texts))
-                yield pa.RecordBatch.from_arrays([*some.columns[:first], pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=names)
-
-    if keep is None:
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-        first, text_at = 2, 2
-    else:
-        rows = docs.select(*keep)
-        first, text_at = len(keep), keep.index("text")
-    mark = "" if keep is None else "__"
-    fields = [*rows.schema.fields[:first], T.StructField(f"{mark}score", T.DoubleType()), T.StructField(f"{mark}predicted", T.IntegerType())]
-    names = [f.name for f in fields]
-    return rows.mapInArrow(step, T.StructType(fields))
+            at = batch.schema.get_field_index("text")
+            for first in range(0, batch.num_rows, 1000):
+                some = batch.slice(first, 1000)
+                texts = [(x or "").encode() for x in some.column(at).to_pylist()]
+                yield out(some, model.value.score(texts) if model.value else np.ones(len(texts)))
+
+    return step

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Hashes kept, and the bits of each: ten hexadecimal digits.
 K, BITS = 128, 40
 SPACE = r"[\x20\x09-\x0D]+"
-#: Rows of a neighbour bucket, and buckets at most.
-ROWS, BUCKETS = 500, 8192
+#: Rows of a range of neighbours, as the mean; ranges at most, and keys that are drawn for each: 64 MB in all.
+ROWS, RANGES, DRAWN = 500, 1 << 19, 8
 
 
 def word_hashes(text: Column) -> Column:
@@ -82,29 +84,42 @@ def from_digest(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(f"([0-9a-f]{{{BITS // 4}}})"), 1), lambda x: F.conv(x, 16, 10).cast("long"))
 
 
+def constant(rows: list, schema: str) -> Column:
+    """A literal of nested rows; as one text it makes a short plan, which the optimizer folds."""
+    return F.from_json(F.lit(json.dumps(rows)), schema)
+
+
 def with_next(docs: DataFrame) -> tuple[DataFrame, Window]:
-    """docs (doc_id, text) dealt into ranges of doc_id; returns them with rows that only mark the next range's first.
+    """docs (doc_id, text) dealt into ranges of (doc_id, hash of text); returns them with rows that only mark the next range's first.
 
-    One shuffle: range bounds are quantiles of doc_id that occur as ids, so a row at a bound goes into the range
-    before as well, as its last row, and the first row of all also ends the last range.
+    One shuffle: range bounds are quantiles of a sample of the rows' keys, so a row at a bound goes into the range
+    before as well, as its last row, and the first row of all also ends the last range. A range is found in two steps,
+    among every so manieth bound and among those from there on.
     """
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    docs = docs.withColumn("__key", key)
-    n = docs.count()
-    parts = max(1, min(BUCKETS, n // ROWS))
-    seen = docs.agg(F.min("__key").alias("low"), F.percentile_approx("__key", [i / parts for i in range(1, parts)] or [0.5], F.lit(20 * BUCKETS)).alias("at")).first()
-    low = seen["low"] if n else 0
-    bounds = sorted(set(seen["at"] or []) - {low}) if parts > 1 else []
-    cuts = F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>")
-    own = F.size(F.filter(cuts, lambda b: b <= F.col("__key")))
+    pair = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("k"), F.xxhash64("text").alias("t"))
+    docs = docs.withColumn("__key", pair)
+    seen = docs.agg(F.count("*").alias("n"), F.min("__key").alias("low")).first()
+    n, low = seen["n"], tuple(seen["low"] or (0, 0))
+    parts = max(1, min(RANGES, n // ROWS))
+    share = F.shiftrightunsigned(F.xxhash64("__key", F.lit(9)), 11) / float(1 << 53)
+    drawn = docs.where(share < min(1.0, DRAWN * parts / max(1, n))).select("__key.k", "__key.t").toArrow() if parts > 1 else None
+    keys = sorted(zip(drawn.column(0).to_pylist(), drawn.column(1).to_pylist(), strict=True)) if parts > 1 else []
+    bounds = sorted({keys[len(keys) * i // parts] for i in range(1, parts)} - {low}) if keys else []
+    step = max(1, int(len(bounds) ** 0.5))
+    rows = [{"k": k, "t": t} for k, t in bounds]
+    coarse = constant(rows[::step], "array<struct<k:bigint,t:bigint>>")
+    fine = constant([rows[i : i + step] for i in range(0, len(rows), step)], "array<array<struct<k:bigint,t:bigint>>>")
+    upto = lambda some: F.size(F.filter(some, lambda b: b <= F.col("__key")))
+    docs = docs.withColumn("__block", upto(coarse)).withColumn("__bounds", F.get(fine, F.col("__block") - 1))
+    docs = docs.withColumn("__own", F.when(F.col("__block") == 0, 0).otherwise((F.col("__block") - 1) * step + upto(F.col("__bounds"))))
     entry = lambda part, mark: F.struct(part.cast("int").alias("part"), F.lit(mark).alias("mark"))
-    docs = docs.withColumn("__own", own)
     places = (
-        F.when(F.col("__key") == low, F.array(entry(F.col("__own"), 0), entry(F.lit(len(bounds)), 1)))
-        .when(F.array_contains(cuts, F.col("__key")), F.array(entry(F.col("__own"), 0), entry(F.col("__own") - 1, 1)))
+        F.when((F.col("__key.k") == low[0]) & (F.col("__key.t") == low[1]), F.array(entry(F.col("__own"), 0), entry(F.lit(len(bounds)), 1)))
+        .when(F.array_contains("__bounds", F.col("__key")), F.array(entry(F.col("__own"), 0), entry(F.col("__own") - 1, 1)))
         .otherwise(F.array(entry(F.col("__own"), 0)))
     )
-    docs = docs.withColumn("__at", F.explode(places)).select("doc_id", "text", "__key", F.col("__at.part").alias("__part"), F.col("__at.mark").alias("__mark"), F.xxhash64("text").alias("__tie"))
+    docs = docs.select("doc_id", "text", "__key", F.explode(places).alias("__at"))
+    docs = docs.select("doc_id", "text", F.col("__at.part").alias("__part"), F.col("__at.mark").alias("__mark"), F.col("__key.k").alias("__key"), F.col("__key.t").alias("__tie"))
     return docs, Window.partitionBy("__part").orderBy("__mark", "__key", "__tie")
 
 

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from inkwell.llm import pii, qgrams, repair
 from inkwell.llm.langid import Scorer, Trie, blocks, expected, forward, identify, train, vocabulary
-from inkwell.llm.linecrf import LineCRF, line_features, marginals, quality_scores
+from inkwell.llm.linecrf import LineCRF, good_documents, line_features, marginals, quality_scores
 from inkwell.llm.shared import connected_components
 from inkwell.llm.simhash import BKTree, distances, forest, near_duplicates, near_fingerprints, shingle_hashes, simhash_components
 from pyspark.sql import functions as F
@@ -317,6 +317,18 @@ def test_quality_of_lines_and_held_out_documents(spark):
     assert quality_scores(empty(spark), table).count() == 0
 
 
+def test_good_documents_of_odd_rows(spark):
+    r = random.Random(6)
+    rows = [(i, "\n".join(make_lines(r, i % 3 > 0) for _ in range(5))) for i in range(60)] + [(3, None), (None, "x"), (4, "word " * 60_000), (4, "word " * 60_000)]
+    table = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(60)] + [(None, 1, 0), (7, None, None)], "doc_id long, quality int, toxic int")
+    clash = docs(spark, rows).withColumns({c: F.lit(1) for c in ("__score", "__predicted", "score", "predicted", "held_out", "doc", "quality")})
+    scores = {(x["doc_id"], x["predicted"]) for x in quality_scores(clash, table).collect()}
+    kept = good_documents(clash, table)
+    assert kept.columns == clash.columns and {x["doc_id"] for x in kept.collect()} == {i for i, p in scores if p}
+    assert sum(x["doc_id"] == 4 and len(x["text"]) > 9999 for x in kept.collect()) in (0, 2)
+    assert good_documents(empty(spark), table).count() == 0
+
+
 def test_long_documents_count_by_length():
     model = LineCRF(line_features([b"a"])[0].shape[1])
     model.weight[:] = 0

@@ -252,6 +252,46 @@ def test_runs_that_overlap_their_first_place_stay(spark):
         assert got["text"].split("\n") == [line] * kept, n
 
 
+def test_line_chunks_against_brute_force(spark):
+    """Lines go only within a run of several lines or over 50 words that stands elsewhere earlier; all runs over 50 words go."""
+    r = random.Random(15)
+    pool = [passage(r, r.randint(1, 6), r.choice((3, 12, 30))) for _ in range(12)]
+    rows = []
+    for i in range(50):
+        parts = [r.choice(pool) if r.random() < 0.5 else passage(r, r.randint(1, 2), r.choice((2, 9))) for _ in range(r.randint(1, 5))]
+        rows.append((i, "\n".join(x for part in parts for x in part)))
+    got = {x["doc_id"]: x["text"] for x in line_report(docs(spark, rows)).collect()}
+    lines = [t.split("\n") for _, t in rows]
+    size = lambda run: sum(len(x.split()) for x in run)
+    first: dict[tuple, int] = {}
+    for i, x in enumerate(lines):
+        must, may = [False] * len(x), [False] * len(x)
+        runs = [(a, b) for a in range(len(x)) for b in range(a + 1, len(x) + 1)]
+        for a, b in runs:
+            run = tuple(x[a:b])
+            if first.get(run, i) < i or sum(lines[i][c : c + b - a] == x[a:b] for c in range(a)):
+                if size(run) > 50 or b - a > 1:
+                    may[a:b] = [True] * (b - a)
+                if size(run) > 50 and first.get(run, i) < i:
+                    must[a:b] = [True] * (b - a)
+        for a, b in runs:
+            first.setdefault(tuple(x[a:b]), i)
+        kept, at = (got[i].split("\n") if got[i] else []), 0
+        gone = []
+        for k, line in enumerate(x):  # all lines are kept or gone in order
+            if at < len(kept) and kept[at] == line:
+                at += 1
+                gone.append(False)
+            else:
+                gone.append(True)
+        assert at == len(kept)
+        left = [line for line, g in zip(x, gone, strict=True) if not g]
+        assert left == kept
+        want = [line for line, m in zip(x, must, strict=True) if not m]
+        assert len(kept) <= len(want) and all(kept.count(z) >= sum(z == y and not m for y, m in zip(x, may, strict=True)) for z in set(x))
+    assert sum(len(t) for t in got.values()) < sum(len(t) for _, t in rows)
+
+
 def test_line_chunks_of_odd_rows(spark):
     rows = docs(spark, ODD).withColumns({c: F.lit(3) for c in ("lines", "gone", "kept", "th", "first", "last", "h")})
     got = dedup_lines(rows)
