@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from inkwell.llm.linecrf import quality_scores
+from inkwell.llm.linecrf import good_documents
 from inkwell.llm.mixing import mix
 from inkwell.llm.qgrams import decontaminate
 from inkwell.llm.repair import token_output
@@ -16,15 +16,18 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line CRF doesn't reject; rows without a text go with the empty ones."""
-    scores = quality_scores(docs, read_table(spark, sf_dir, "labels"), keep=docs.columns)
-    return scores.where("__predicted = 1").select(*docs.columns)
+    """Documents that the line CRF doesn't reject.
+
+    Rows without a text are scored as empty ones, repeated rows alike; an empty table stays empty; all columns stay.
+    """
+    return good_documents(docs, read_table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: the one with the least doc_id, once if its row is repeated.
 
-    Rows without a doc_id can't be told from one another by it and stay.
+    Rows that share that doc_id but not the text all stay, as do rows without a doc_id, which can't be told from one
+    another by it. Null and empty texts are one class. An empty table stays empty; all columns stay.
     """
     classes = near_duplicates(docs)
     keep = cut(classes.where("doc_id = component_id").select("doc_id").distinct(), "keep")
@@ -34,17 +37,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark; null and empty texts stay, repeated rows go or stay alike."""
     return decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, up to three times each; texts without a word never.
+
+    A null source is a source of its own. Rows that repeat doc_id and text share their rank. An empty table stays empty.
+    """
     return mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of the mixed corpus, as read back."""
+    """Token files of the mixed corpus, as read back: a row per document and copy, null ids first, a null text as empty."""
     return token_output(docs, TOKENIZER)
 
 

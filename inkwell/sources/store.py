@@ -11,8 +11,10 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset, as in tests."""
+    """spark.checkpoint.dir; where it is unset and Spark is local, as in tests, a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return found.rstrip("/") if found else "file://" + os.path.join(tempfile.gettempdir(), f"inkwell-{os.getpid()}")
 
 
