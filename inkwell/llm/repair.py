@@ -30,7 +30,7 @@ from inkwell.llm.shared import cut
 
 MAGIC = b"RPAIR002"
 #: Tokens after which a block is closed; a pair becomes a rule if it occurs so often: below, a rule costs more than it saves.
-BLOCK, LEAST = 1 << 18, 8
+BLOCK, LEAST = 1 << 18, 12
 #: Slots of the counts that rule out rare pairs, as a power of two.
 SLOTS = 17
 #: Encoded pieces that a worker keeps; bytes of text encoded at a time.
@@ -40,57 +40,62 @@ PIECES, BYTES = 600_000, 4 << 20
 LETTER, DIGIT, MARK, QUOTE, SPACE, BLANK, A, U = range(8)
 
 
+#: All Unicode white space is ASCII or starts with one of these bytes.
+LEADS = (0xC2, 0xE1, 0xE2, 0xE3)
+
+
 def _classes() -> np.ndarray:
     out = np.full(256, U, np.uint8)
     for b in range(33, 127):
         c = chr(b)
         out[b] = LETTER if c.isalpha() else DIGIT if c.isdigit() else QUOTE if c == "'" else MARK
     out[32], out[9:14], out[128:] = SPACE, BLANK, A
+    out[list(LEADS)] = U
     return out
 
 
-CLASS = _classes()
-#: All Unicode white space is ASCII or starts with one of these bytes.
-LEAD = np.isin(np.arange(256), (0xC2, 0xE1, 0xE2, 0xE3))
-#: Whether a byte-level pre-tokenizer surely splits between two classes, whatever stands around them.
-SPLIT = np.zeros((8, 8), bool)
-for _x in (LETTER, DIGIT, MARK, QUOTE, A):
-    SPLIT[_x, [SPACE, BLANK]] = SPLIT[BLANK, _x] = True
-SPLIT[LETTER, [DIGIT, MARK, QUOTE]] = SPLIT[DIGIT, [LETTER, MARK, QUOTE]] = SPLIT[MARK, [LETTER, DIGIT]] = SPLIT[QUOTE, DIGIT] = True
-WHITE, KNOWN = np.zeros((8, 8), bool), np.ones(8, bool)
-WHITE[SPACE : BLANK + 1, SPACE : BLANK + 1], KNOWN[[SPACE, BLANK, U]] = True, False
+def _flags() -> bytes:
+    """By two classes: 1 if a byte-level pre-tokenizer surely splits between them, 2 for two white ones, 4 for U and BLANK."""
+    out = np.zeros((8, 8), np.uint8)
+    for x in (LETTER, DIGIT, MARK, QUOTE, A):
+        out[x, [SPACE, BLANK]] = out[BLANK, x] = 1
+    out[LETTER, [DIGIT, MARK, QUOTE]] = out[DIGIT, [LETTER, MARK, QUOTE]] = out[MARK, [LETTER, DIGIT]] = out[QUOTE, DIGIT] = 1
+    out[SPACE : BLANK + 1, SPACE : BLANK + 1], out[U, BLANK] = 2, 4
+    return bytes(np.resize(out.ravel(), 256))
 
 
+#: Tables for bytes.translate, which needs no index of eight bytes for each.
+CLASSES, FLAGS = _classes().tobytes(), _flags()
 #: Words that no byte-level pre-tokenizer splits: Latin letters, maybe after a space.
 WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
 
-def boundaries(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def boundaries(text: bytes, starts: np.ndarray) -> np.ndarray:
     """Before which bytes of some joined texts, given their starts, the pre-tokenizer surely splits.
 
     A byte-level pre-tokenizer cuts a text into runs of letters, digits, marks and white space, each with the space
     before it; of several white characters before another, the last stands alone or is that space. Only boundaries
     that follow from the bytes next to them are told, so the pieces between them encode as they do in the text.
     """
-    kind = CLASS.take(raw)
-    lead = np.flatnonzero(LEAD.take(raw))
-    for k in range(3):
+    raw, kind = np.frombuffer(text, np.uint8), np.frombuffer(bytearray(text.translate(CLASSES)), np.uint8)
+    lead = np.flatnonzero((kind == U) & (raw >= 0xC2))
+    for k in (1, 2):
         at = lead[(lead + k < len(raw)) & (raw[lead] >= (0xE0 if k == 2 else 0))] + k
         kind[at] = U
+    pair = kind[:-1] << 3 | kind[1:]
+    flags = np.frombuffer(pair.tobytes().translate(FLAGS), np.uint8)
     out = np.zeros(len(raw), bool)
-    pair = kind << 3
-    pair[:-1] |= kind[1:]
-    SPLIT.ravel().take(pair[:-1], out=out[1:])
+    np.equal(flags, 1, out=out[1:])
+    known = lambda at: (kind[at] != U) & (kind[at] != SPACE) & (kind[at] != BLANK)
     # before the last of several white characters, which what follows must show; no text has the next one's bytes
-    last = np.flatnonzero(WHITE.ravel().take(pair[:-1])) + 1
+    last = np.flatnonzero(flags == 2) + 1
     last = last[last < len(raw) - 1]
     begins = np.zeros(len(raw), bool)
     begins[starts] = True
-    out[last[KNOWN.take(kind[last + 1]) & ~begins[last + 1]]] = True
-    if len(lead):
-        after = np.flatnonzero(pair[:-1] == (U << 3 | BLANK)) + 2
-        after = after[after < len(raw)]
-        out[after[KNOWN.take(kind[after])]] = False
+    out[last[known(last + 1) & ~begins[last + 1]]] = True
+    after = np.flatnonzero(flags == 4) + 2
+    after = after[after < len(raw)]
+    out[after[known(after)]] = False
     out[starts] = True
     return out
 
@@ -164,18 +169,17 @@ class Encoder:
         texts = texts.cast(pa.large_binary())
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         data = texts.buffers()[2]
-        raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+        raw = data[int(offsets[0]) : int(offsets[-1])].to_pybytes() if data is not None else b""
         at = offsets - offsets[0]
         first = at[:-1][at[:-1] < at[1:]]  # of texts that aren't empty
         if self.byte_level:
             is_cut = boundaries(raw, first)
-            whole = raw.tobytes() if any(map(bytes(raw).find, self.added)) else b""
             for token in self.added:
-                i = whole.find(token)
+                i = raw.find(token)
                 while i >= 0:
                     t = int(np.searchsorted(at, i, "right"))
                     is_cut[at[t - 1] + 1 : at[t]] = False
-                    i = whole.find(token, i + 1)
+                    i = raw.find(token, i + 1)
             cuts = np.flatnonzero(is_cut)
         else:
             cuts = first
@@ -185,12 +189,14 @@ class Encoder:
         if len(self.known) > PIECES:
             self.forget()
         self.new: list[tuple[np.ndarray, np.ndarray]] = []
-        self.learn([p for p in pieces if p not in self.known])
+        which = list(map(self.known.get, pieces))
+        self.learn([p for p, k in zip(pieces, which, strict=True) if k is None])
         if self.new:
             n = np.concatenate([x for _, x in self.new])
             begin = len(self.flat) + np.cumsum(n) - n
             self.flat, self.n, self.start = np.concatenate([self.flat, *(x for x, _ in self.new)]), np.concatenate((self.n, n)), np.concatenate((self.start, begin))
-        which = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))[table.indices.to_numpy()]
+        of = np.array([self.known[p] if k is None else k for p, k in zip(pieces, which, strict=True)], np.int64)
+        which = of[table.indices.to_numpy()]
         n = self.n[which]
         upto = np.concatenate(([0], np.cumsum(n)))
         ends = upto[np.searchsorted(cuts, at[1:])]
