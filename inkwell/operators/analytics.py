@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from inkwell.functions.text import query_tokens
 from inkwell.functions.weights import robertson
 from inkwell.operators.index import Index
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: IDF of a term that no document has, and the share of documents that it counts as.
@@ -62,11 +64,49 @@ def cf_ranks(index: Index) -> DataFrame:
     return counts.withColumn("first", F.coalesce(F.sum("terms").over(above), F.lit(0)) + 1)
 
 
+#: Ranks up to which logs are summed one by one; beyond, Euler-Maclaurin sums are exact to twelve digits.
+EXACT = 32
+
+
+def _log_square_constant(n: int = 1000) -> float:
+    """What the Euler-Maclaurin sum of ln squared lacks, the same for every n."""
+    log = math.log(n)
+    return math.fsum(math.log(r) ** 2 for r in range(1, n + 1)) - (n * (log * log - 2 * log + 2) + log * log / 2 + log / (6 * n) - (4 * log - 6) / (720 * n**3))
+
+
+def log_sum(n: Column) -> Column:
+    """ln 1 + ... + ln n, without a row or an element per rank."""
+    x = n.cast("double")
+    whole = x * F.ln(x) - x + 0.5 * F.ln(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5.0)))
+    few = F.aggregate(F.sequence(F.lit(1), F.least(n, F.lit(EXACT)).cast("int")), F.lit(0.0), lambda a, r: a + F.ln(r))
+    return F.when(n < 1, 0.0).when(n <= EXACT, few).otherwise(whole)
+
+
+def log_square_sum(n: Column) -> Column:
+    """(ln 1) squared + ... + (ln n) squared."""
+    x = n.cast("double")
+    log = F.ln(x)
+    whole = x * (log * log - 2 * log + 2) + log * log / 2 + log / (6 * x) - (4 * log - 6) / (720 * x * x * x) + _log_square_constant()
+    few = F.aggregate(F.sequence(F.lit(1), F.least(n, F.lit(EXACT)).cast("int")), F.lit(0.0), lambda a, r: a + F.ln(r) * F.ln(r))
+    return F.when(n <= EXACT, few).otherwise(whole)
+
+
 def zipf(index: Index) -> DataFrame:
-    """One row: alpha, intercept, r2, verdict of the least-squares line of ln cf on ln rank."""
-    ranks = cf_ranks(index).select("cf", F.explode(F.sequence("first", F.col("first") + F.col("terms") - 1)).alias("rank"))
-    y, x = F.ln("cf"), F.ln("rank")
-    fit = ranks.agg((-F.regr_slope(y, x)).alias("alpha"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
+    """One row: alpha, intercept, r2, verdict of the least-squares line of ln cf on ln rank.
+
+    Terms of one frequency share a range of ranks, whose logs are summed in closed form, so the work is a row per
+    frequency. Null fits where there is no term or one; r2 is 1 where all frequencies are the same.
+    """
+    y, m = F.ln("cf"), F.col("terms")
+    logs = log_sum(F.col("first") + m - 1) - log_sum(F.col("first") - 1)
+    s = cf_ranks(index).agg(F.sum(m).alias("n"), F.sum(m * y).alias("y"), F.sum(m * y * y).alias("yy"), F.sum(y * logs).alias("xy"), F.count("*").alias("values"))
+    s = s.withColumn("x", log_sum(F.col("n"))).withColumn("xx", log_square_sum(F.col("n")))
+    n = F.col("n")
+    sxx, sxy, syy = F.col("xx") - F.col("x") * F.col("x") / n, F.col("xy") - F.col("x") * F.col("y") / n, F.col("yy") - F.col("y") * F.col("y") / n
+    s = s.select("n", "x", "y", "values", F.when(n > 1, sxx).alias("sxx"), sxy.alias("sxy"), syy.alias("syy"))
+    slope = F.col("sxy") / F.col("sxx")
+    r2 = F.when(F.col("sxx").isNull(), F.lit(None)).when(F.col("values") == 1, 1.0).otherwise(F.col("sxy") * slope / F.nullif(F.col("syy"), F.lit(0.0)))
+    fit = s.select((-slope).alias("alpha"), ((F.col("y") - slope * F.col("x")) / F.col("n")).alias("intercept"), r2.cast("double").alias("r2"))
     off = F.abs(F.col("alpha") - 1)
     return fit.withColumn("verdict", F.when(off < 0.1, "excellent").when(off < 0.3, "good").otherwise("deviation"))
 

@@ -147,9 +147,22 @@ CODECS: dict[str, Codec] = {
 }
 
 
-def with_gaps(postings: DataFrame) -> DataFrame:
-    """postings with gap: doc_id less the one before in the term's list, the first one whole."""
-    return postings.withColumn("gap", F.col("doc_id") - F.lag("doc_id", 1, 0).over(Window.partitionBy("term").orderBy("doc_id")))
+#: doc_ids of the ranges in which a term's list is worked on.
+CHUNK = 1 << 20
+
+
+def with_gaps(postings: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """postings with gap: doc_id less the one before in the term's list, the first one whole.
+
+    A term's list is worked on in ranges of `chunk` doc_ids, each of which learns the last doc_id before it, so that a
+    term that most documents have is many tasks' work.
+    """
+    rows = postings.withColumn("__part", F.floor(F.col("doc_id") / chunk).cast("long"))
+    last = rows.groupBy("term", "__part").agg(F.max("doc_id").alias("__last"))
+    ahead = last.select("term", "__part", F.lag("__last").over(Window.partitionBy("term").orderBy("__part")).alias("__ahead")).where("__ahead is not null")
+    rows = rows.withColumn("__before", F.lag("doc_id").over(Window.partitionBy("term", "__part").orderBy("doc_id")))
+    rows = rows.join(ahead, ["term", "__part"], "left")
+    return rows.select(*[F.col(c) for c in postings.columns], (F.col("doc_id") - F.coalesce("__before", "__ahead", F.lit(0))).alias("gap"))
 
 
 def from_gaps(rows: DataFrame) -> DataFrame:
@@ -204,20 +217,25 @@ def encoded(lists: DataFrame, name: str) -> DataFrame:
     return lists.select("term", u["encode"](F.col("list.doc_id")).alias("ids"), u["encode_tf"](F.col("list.tf").cast("array<bigint>")).alias("tfs"))
 
 
-def roundtrip(postings: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """(codec, lists, bytes, wrong): encodes and decodes every term's lists; wrong counts those that come back unlike."""
+def roundtrip(postings: DataFrame, names: list[str] | None = None, chunk: int = CHUNK) -> DataFrame:
+    """(codec, lists, bytes, wrong): encodes and decodes every list; wrong counts those that come back unlike.
+
+    A list holds a term's postings in a range of `chunk` doc_ids. All codecs go over the lists in one pass.
+    """
     from inkwell.operators.index import packed
 
-    lists = packed(postings)
-    out = None
-    for name in names or list(CODECS):
+    p, t = F.col("list.doc_id"), F.col("list.tf").cast("array<bigint>")
+    rows, each = packed(postings, chunk).select(p.alias("p"), t.alias("t")), []
+    names = names or list(CODECS)
+    for i, name in enumerate(names):
         u = udfs(name)
-        ids, tfs = F.col("list.doc_id"), F.col("list.tf").cast("array<bigint>")
-        rows = lists.select(ids.alias("p"), tfs.alias("t"), u["encode"](ids).alias("ids"), u["encode_tf"](tfs).alias("tfs"))
-        rows = rows.select("p", "t", "ids", "tfs", u["decode"](F.col("ids")).alias("p2"), u["decode_tf"](F.col("tfs")).alias("t2"))
-        one = rows.agg(F.lit(name).alias("codec"), F.count("*").alias("lists"), F.sum(F.octet_length("ids") + F.octet_length("tfs")).cast("long").alias("bytes"), F.count_if((F.col("p") != F.col("p2")) | (F.col("t") != F.col("t2"))).alias("wrong"))
-        out = one if out is None else out.unionByName(one)
-    return out
+        rows = rows.withColumns({f"i{i}": u["encode"](F.col("p")), f"t{i}": u["encode_tf"](F.col("t"))})
+        each.append((name, u["decode"](F.col(f"i{i}")), u["decode_tf"](F.col(f"t{i}")), F.octet_length(f"i{i}") + F.octet_length(f"t{i}")))
+    for i, (_, p2, t2, _) in enumerate(each):
+        rows = rows.withColumns({f"p{i}": p2, f"u{i}": t2})
+    told = [F.struct(F.lit(name).alias("codec"), n.cast("long").alias("bytes"), ((F.col("p") != F.col(f"p{i}")) | (F.col("t") != F.col(f"u{i}"))).alias("unlike")) for i, (name, _, _, n) in enumerate(each)]
+    rows = rows.select(F.explode(F.array(*told)).alias("x")).select("x.*")
+    return rows.groupBy("codec").agg(F.count("*").alias("lists"), F.sum("bytes").cast("long").alias("bytes"), F.count_if("unlike").alias("wrong"))
 
 
 def speeds(lists: list[tuple[list[int], list[int]]], names: list[str] | None = None) -> list[dict]:

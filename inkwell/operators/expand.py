@@ -29,12 +29,14 @@ def feedback_terms(index: Index, queries: DataFrame, seeds: DataFrame, top_docs:
 def cooccurring_terms(index: Index, queries: DataFrame, most: int = 5, min_df: int = 2) -> DataFrame:
     """PMI weights ln(together * N / (df of the query's documents * df of the term + 1e-9) + 1) of terms not in the query.
 
-    The query's documents are those that hold any of its terms.
+    The query's documents are those that hold any of its terms. All queries go over the postings in one pass: a document
+    carries the set of its queries, and terms are counted by set before sets are taken apart.
     """
     terms = query_terms(queries).select("qid", "term")
-    docs = index.postings.select("term", "doc_id").join(terms, "term").select("qid", "doc_id").distinct()
-    sizes = docs.groupBy("qid").agg(F.count("*").alias("df_union"))
-    together = index.postings.select("term", "doc_id").join(docs, "doc_id").groupBy("qid", "term").agg(F.count("*").alias("cooc"))
+    docs = rank.matched(index, queries, once=True).groupBy("doc_id").agg(F.sort_array(F.collect_set("qid")).alias("qids"))
+    sizes = docs.groupBy("qids").agg(F.count("*").alias("n")).select(F.explode("qids").alias("qid"), "n").groupBy("qid").agg(F.sum("n").alias("df_union"))
+    together = index.postings.select("term", "doc_id").join(docs, "doc_id").groupBy("term", "qids").agg(F.count("*").alias("n"))
+    together = together.select("term", F.explode("qids").alias("qid"), "n").groupBy("qid", "term").agg(F.sum("n").alias("cooc"))
     together = together.join(terms, ["qid", "term"], "left_anti").join(index.terms.where(F.col("df") >= min_df).select("term", "df"), "term")
     together = together.join(sizes, "qid").crossJoin(F.broadcast(index.stats.select("n")))  # one row
     weight = F.ln(F.col("cooc") * F.col("n") / (F.col("df_union") * F.col("df") + 1e-9) + 1.0)

@@ -9,9 +9,10 @@ NAMES = ("rbp", "dcg", "ndcg", "ap")
 
 
 def judged(ranked: DataFrame, qrels: DataFrame, k: int | None = None) -> DataFrame:
-    """ranked up to k with rel, 0 where a document has no judgment."""
+    """ranked up to k with rel, 0 where a document has no judgment. Judgments without a qid hold for every query."""
     ranked = ranked if k is None else ranked.where(F.col("rank") <= k)
-    rows = ranked.join(qrels.select("qid", "doc_id", "rel"), ["qid", "doc_id"], "left")
+    on = [c for c in ("qid", "doc_id") if c in qrels.columns]
+    rows = ranked.join(qrels.select(*on, "rel"), on, "left")
     return rows.withColumn("rel", F.coalesce("rel", F.lit(0)))
 
 

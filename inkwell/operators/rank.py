@@ -64,17 +64,27 @@ def upper_bounds(index: Index, k1: float = K1, b: float = B) -> DataFrame:
 def wand(index: Index, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B, prune: bool = False) -> DataFrame:
     """BM25 over each query's distinct terms, with the same results whether or not documents are pruned by bounds.
 
-    Pruned: a query's k-th best score by its rarest term alone is a threshold; documents whose terms' upper bounds sum
-    to less are not scored. That costs a further pass over the postings, so it pays where few terms are common.
+    Pruned: a query's k-th best score by the rarest of its terms that has k documents is a threshold. Its terms of the
+    least bounds, as long as those sum to less, can't bring a document there by themselves, so of their postings only
+    those of documents with another term of the query are kept; a document whose bounds sum to less is left out too.
+    Both come before lengths are joined and scores summed.
     """
     if not prune:
         return topk(bm25_scores(index, queries, k1, b, once=True), k, "wand")
-    hits = matched(index, queries, once=True).join(index.docs, "doc_id")
-    part = robertson(F.col("n"), F.col("df"))
-    hits = hits.select("qid", "term", "doc_id", "df", (part * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)).alias("part"), (part * saturation(F.col("max_tf"), F.col("min_dl"), F.col("avgdl"), k1, b)).alias("bound"))
-    rare = hits.groupBy("qid").agg(F.min(F.struct("df", "term")).alias("r")).select("qid", F.col("r.term").alias("term"))
-    order = Window.partitionBy("qid").orderBy(F.col("part").desc())
-    theta = hits.join(rare, ["qid", "term"]).withColumn("at", F.row_number().over(order)).where(F.col("at") == k).select("qid", (F.col("part") - 1e-9).alias("theta"))
-    sums = hits.groupBy("qid", "doc_id").agg(F.sum("bound").alias("most"), F.sum("part").alias("score"))
-    kept = sums.join(theta, "qid", "left").where(F.col("most") >= F.coalesce("theta", F.lit(0.0)))
-    return topk(kept.select("qid", "doc_id", "score"), k, "wand")
+    hits = matched(index, queries, once=True)
+    bound = robertson(F.col("n"), F.col("df")) * saturation(F.col("max_tf"), F.col("min_dl"), F.col("avgdl"), k1, b)
+    part = robertson(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
+    terms = query_terms(queries).select("qid", "term").join(index.terms.select("term", "df", "max_tf"), "term").crossJoin(F.broadcast(index.stats.select("n", "avgdl", "min_dl")))  # one row
+    terms = terms.select("qid", "term", "df", bound.alias("bound"))
+    rare = terms.where(F.col("df") >= k).groupBy("qid").agg(F.min(F.struct("df", "term")).alias("r")).select("qid", F.col("r.term").alias("term"))
+    first = hits.join(rare, ["qid", "term"]).join(index.docs, "doc_id").select("qid", part.alias("part"))
+    at = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("part")))
+    theta = first.withColumn("at", at).where(F.col("at") == k).select("qid", (F.col("part") - 1e-9).alias("theta"))
+    upto = F.sum("bound").over(Window.partitionBy("qid").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0))
+    terms = terms.withColumn("upto", upto).join(theta, "qid", "left").withColumn("theta", F.coalesce("theta", F.lit(0.0)))
+    hits = hits.join(terms.select("qid", "term", "bound", "theta", (F.col("upto") >= F.col("theta")).alias("able")), ["qid", "term"])
+    able = hits.where("able").groupBy("qid", "doc_id").agg(F.sum("bound").alias("most"), F.first("theta").alias("theta"))
+    weak = terms.where(F.col("upto") < F.col("theta")).groupBy("qid").agg(F.sum("bound").alias("weak"))
+    able = able.join(weak, "qid", "left").where(F.col("most") + F.coalesce("weak", F.lit(0.0)) >= F.col("theta")).select("qid", "doc_id")
+    kept = hits.join(able, ["qid", "doc_id"], "left_semi").join(index.docs, "doc_id")
+    return topk(kept.groupBy("qid", "doc_id").agg(F.sum(F.col("qtf") * part).alias("score")), k, "wand")

@@ -113,9 +113,10 @@ def collection_statistics(spark, sf_dir):
 
 @query("SELECT term, count(*) AS n, min(doc_id) AS first_doc, max(doc_id) AS last_doc, CAST(sum(tf) AS BIGINT) AS tf_sum FROM postings GROUP BY term")
 def packed_postings_summary(spark, sf_dir):
-    lists = packed(stored_index(spark, sf_dir).postings)
+    lists = packed(stored_index(spark, sf_dir).postings, codecs.CHUNK)
     total = F.aggregate("list", F.lit(0).cast("long"), lambda a, x: a + x["tf"])
-    return lists.select("term", F.size("list").cast("long").alias("n"), F.col("list")[0]["doc_id"].alias("first_doc"), F.element_at("list", -1)["doc_id"].alias("last_doc"), total.alias("tf_sum"))
+    parts = lists.select("term", F.size("list").alias("n"), F.col("list")[0]["doc_id"].alias("low"), F.element_at("list", -1)["doc_id"].alias("high"), total.alias("tf"))
+    return parts.groupBy("term").agg(F.sum("n").alias("n"), F.min("low").alias("first_doc"), F.max("high").alias("last_doc"), F.sum("tf").alias("tf_sum"))
 
 
 @query("SELECT term, doc_id, tf FROM postings WHERE term = 'the'")
@@ -331,10 +332,8 @@ MEANS_SQL = "means AS MATERIALIZED (SELECT m AS method, avg(coalesce(rbp, 0)) AS
 
 def eval_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Lists of depth 100 for the benchmark's queries; a document's quality label is its relevance for every query."""
-    queries = batch(spark, sf_dir)
-    lists = fusion.lists_of(stored_index(spark, sf_dir), queries, EVAL, 100)
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("rel"))
-    return lists, lists.select("qid", "doc_id").distinct().join(labels, "doc_id")
+    lists = fusion.lists_of(stored_index(spark, sf_dir), batch(spark, sf_dir), EVAL, 100)
+    return lists, spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("rel"))
 
 
 def metric(name: str):
@@ -383,11 +382,10 @@ FUSED_LISTS = "fusedl AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM ({
 def eval_fusion(spark, sf_dir):
     """RRF, CombMNZ and Condorcet over TF-IDF and BM25, evaluated as eval_mean does."""
     queries = batch(spark, sf_dir)
-    lists, _ = eval_lists(spark, sf_dir)
+    lists, labels = eval_lists(spark, sf_dir)
     names = ["rrf", "combmnz", "condorcet"]
     both = fusion.union([fusion.STRATEGIES[n](lists, 100) for n in names])
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("rel"))
-    found = metrics.evaluate(both, both.select("qid", "doc_id").distinct().join(labels, "doc_id"), queries, names)
+    found = metrics.evaluate(both, labels, queries, names)
     return found.select("method", *[F.round(c, 6).alias(c) for c in ("rbp", "dcg", "ndcg", "map")])
 
 

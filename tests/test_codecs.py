@@ -69,6 +69,17 @@ def test_gaps_and_synthetic(spark):
     assert gaps.agg(F.min("gap"), F.max("gap")).first()[0] >= 1 and gaps.where("gap > 50").count() == 0
 
 
+def test_gaps_over_ranges(spark):
+    rows = codecs.synthetic_postings(spark, 30)
+    want = sorted(map(tuple, codecs.with_gaps(rows).collect()))
+    assert sorted(map(tuple, codecs.with_gaps(rows, 16).collect())) == want
+    first = {}
+    for term, doc_id, _, gap in want:
+        assert gap == doc_id - first.get(term, 0)
+        first[term] = doc_id
+    assert {x["wrong"] for x in codecs.roundtrip(rows, chunk=64).collect()} == {0}
+
+
 def test_speeds():
     rows = codecs.speeds([(P, T)])
     assert [r["codec"] for r in rows] == list(CODECS) and all(r["same"] for r in rows) and rows[0]["ratio"] == 1

@@ -95,3 +95,23 @@ def test_streaming_ingest_equals_batch(spark, toy, tmp_path):
     stream = spark.readStream.schema(toy.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     ingest(stream, str(tmp_path / "s"), str(tmp_path / "c")).awaitTermination()
     assert as_set(compact(spark, str(tmp_path / "s"), str(tmp_path / "out")).postings) == as_set(postings_of(toy))
+
+
+def test_zipf_equals_regression_over_every_rank(spark):
+    from inkwell.operators import analytics
+    from pyspark.sql import functions as F
+
+    for counts in ([1] * 3000 + [2] * 700 + [5] * 90 + [40, 77, 900], [3, 1], [4, 4, 4], [7], list(range(1, 60))):
+        index = Index(None, None, spark.createDataFrame([(c,) for c in counts], "cf long"), None)
+        ranks = spark.createDataFrame(list(enumerate(sorted(counts, reverse=True), 1)), "rank long, cf long")
+        y, x = F.ln("cf"), F.ln("rank")
+        want = ranks.agg(-F.regr_slope(y, x), F.regr_intercept(y, x), F.regr_r2(y, x)).first()
+        got = analytics.zipf(index).first()
+        for a, b in zip(got, want, strict=False):
+            assert (a is None) == (b is None) and (a is None or abs(a - b) < 1e-9), (counts[:5], got, want)
+    sums = spark.range(1, 200).select("id", analytics.log_sum(F.col("id")).alias("s"), analytics.log_square_sum(F.col("id")).alias("q")).collect()
+    import math
+
+    for r in sums:
+        logs = [math.log(k) for k in range(1, r["id"] + 1)]
+        assert abs(r["s"] - sum(logs)) < 1e-9 and abs(r["q"] - sum(v * v for v in logs)) < 1e-8
