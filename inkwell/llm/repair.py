@@ -34,7 +34,7 @@ BLOCK, LEAST = 1 << 18, 12
 #: Slots of the counts that rule out rare pairs, as a power of two.
 SLOTS = 17
 #: Encoded pieces that a worker keeps; bytes of text encoded at a time.
-PIECES, BYTES = 600_000, 4 << 20
+PIECES, BYTES = 400_000, 2 << 20
 
 #: Classes of bytes. A is part of a character that is no white space, U of one that may be anything.
 LETTER, DIGIT, MARK, QUOTE, SPACE, BLANK, A, U = range(8)
@@ -138,12 +138,17 @@ class Encoder:
             self.listed.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit("\n"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             # a token of a byte-level vocabulary is written with a character per byte
             self.size = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.end)])
-        self.forget()
-
-    def forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.flat, self.start, self.n = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def forget(self, pieces: list[bytes], which: list[int | None]) -> list[int | None]:
+        """Forget all pieces but these, given their numbers; returns their new ones."""
+        old = np.array([k for k in which if k is not None], np.int64)
+        self.flat, self.n = ragged(self.flat, self.start[old], self.n[old]), self.n[old]
+        self.start = np.cumsum(self.n) - self.n
+        self.known = {p: i for i, p in enumerate(p for p, k in zip(pieces, which, strict=True) if k is not None)}
+        return list(map(self.known.get, pieces))
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -186,10 +191,10 @@ class Encoder:
         slices = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(np.append(cuts, len(raw)).astype(np.int64)), pa.py_buffer(raw)])
         table = slices.dictionary_encode()
         pieces = sliced(table.dictionary)
-        if len(self.known) > PIECES:
-            self.forget()
         self.new: list[tuple[np.ndarray, np.ndarray]] = []
         which = list(map(self.known.get, pieces))
+        if len(self.known) > PIECES:
+            which = self.forget(pieces, which)
         self.learn([p for p, k in zip(pieces, which, strict=True) if k is None])
         if self.new:
             n = np.concatenate([x for _, x in self.new])

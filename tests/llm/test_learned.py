@@ -498,6 +498,16 @@ def test_pieces_encode_as_whole_texts(texts):
     assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [[*x.tolist(), e.end] for x in e.ids(texts + TEXTS)]
 
 
+def test_forgotten_pieces_encode_alike(monkeypatch):
+    monkeypatch.setattr(repair, "PIECES", 40)
+    e, r = repair.Encoder(public_tokenizers.path("byte_bpe_50k.json")), random.Random(3)
+    for _ in range(12):
+        texts = [" ".join(r.choice(["the", "and", f"w{r.randrange(60)}", "é,", "\n x"]) for _ in range(20)) for _ in range(3)]
+        ids, n = e.encode(pa.array([x.encode() for x in texts], pa.binary()))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [[*x.tolist(), e.end] for x in e.ids(texts)]
+        assert len(e.known) < 140
+
+
 def test_other_tokenizers_encode_whole_texts():
     e = repair.Encoder(public_tokenizers.path("word_bpe_49k.json"))
     ids, n = e.encode(pa.array([x.encode() for x in TEXTS], pa.binary()).slice(1))
