@@ -14,8 +14,8 @@ is rule r.
 
 from __future__ import annotations
 
+import itertools
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -66,8 +66,15 @@ def _flags() -> bytes:
 
 #: Tables for bytes.translate, which needs no index of eight bytes for each.
 CLASSES, FLAGS = _classes().tobytes(), _flags()
-#: Words that no byte-level pre-tokenizer splits: Latin letters, maybe after a space.
-WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+
+
+def classes(text: bytes) -> np.ndarray:
+    """Each byte's class, both bytes of the letters from U+00C0 to U+00FF as those of others."""
+    raw, kind = np.frombuffer(text, np.uint8), np.frombuffer(bytearray(text.translate(CLASSES)), np.uint8)
+    at = np.flatnonzero(raw[:-1] == 0xC3)
+    at = at[(raw[at + 1] != 0x97) & (raw[at + 1] != 0xB7)]
+    kind[at] = kind[at + 1] = LETTER
+    return kind
 
 
 def boundaries(text: bytes, starts: np.ndarray) -> np.ndarray:
@@ -77,7 +84,7 @@ def boundaries(text: bytes, starts: np.ndarray) -> np.ndarray:
     before it; of several white characters before another, the last stands alone or is that space. Only boundaries
     that follow from the bytes next to them are told, so the pieces between them encode as they do in the text.
     """
-    raw, kind = np.frombuffer(text, np.uint8), np.frombuffer(bytearray(text.translate(CLASSES)), np.uint8)
+    raw, kind = np.frombuffer(text, np.uint8), classes(text)
     lead = np.flatnonzero((kind == U) & (raw >= 0xC2))
     for k in (1, 2):
         at = lead[(lead + k < len(raw)) & (raw[lead] >= (0xE0 if k == 2 else 0))] + k
@@ -135,39 +142,64 @@ class Encoder:
         # words are told apart by a character that none of them has, which the pre-tokenizer takes away
         self.listed = Tokenizer.from_file(path)
         if self.byte_level:
-            self.listed.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit("\n"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-            # a token of a byte-level vocabulary is written with a character per byte
+            self.listed.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+            split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            # how that vocabulary writes the bytes that words have, a character per byte
+            self.written = np.zeros(256, "<u4")
+            for c in map(chr, range(256)):
+                self.written[list(c.encode())] = [ord(x) for x in split.pre_tokenize_str(c)[0][0]]
+            self.written[ord("\n")] = ord("\n")
             self.size = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.end)])
         self.known: dict[bytes, int] = {}
         self.flat, self.start, self.n = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def forget(self, pieces: list[bytes], which: list[int | None]) -> list[int | None]:
-        """Forget all pieces but these, given their numbers; returns their new ones."""
-        old = np.array([k for k in which if k is not None], np.int64)
+        self.again = np.zeros(0, bool)  # pieces met in a later batch than the one they were learnt in
+
+    def forget(self, which: np.ndarray) -> np.ndarray:
+        """Forget the pieces that no batch met again, or all but the given ones if that leaves too many; new numbers of those."""
+        stay = self.again.copy()
+        if np.count_nonzero(stay) > PIECES // 2:
+            stay[:] = False
+        stay[which[which >= 0]] = True
+        old = np.flatnonzero(stay)
+        number = np.full(len(stay) + 1, -1)  # the last one for pieces not known
+        number[old] = np.arange(len(old))
+        pieces = list(self.known)
+        self.known = {pieces[k]: i for i, k in enumerate(old.tolist())}
         self.flat, self.n = ragged(self.flat, self.start[old], self.n[old]), self.n[old]
-        self.start = np.cumsum(self.n) - self.n
-        self.known = {p: i for i, p in enumerate(p for p, k in zip(pieces, which, strict=True) if k is not None)}
-        return list(map(self.known.get, pieces))
+        self.start, self.again = np.cumsum(self.n) - self.n, np.zeros(len(old), bool)
+        return number[which]
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, pieces: list[bytes]) -> None:
-        """Encode new pieces: words, which nothing splits, many in one text and told apart by their bytes; others one by one."""
-        plain = list(filter(WORD.fullmatch, pieces)) if self.byte_level else []
-        for at in range(0, len(plain), 20_000):
-            some = plain[at : at + 20_000]
-            ids = np.array(self.listed.encode_batch_fast([b"\n".join(some).decode()], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(p) for p in some])) + 1
-            self.keep(some, ids, np.diff(ends, prepend=0))
-        known = set(plain)
-        if other := [p for p in pieces if p not in known]:
-            each = self.ids([p.decode() for p in other])
-            self.keep(other, np.concatenate(each), np.array([len(x) for x in each]))
-
-    def keep(self, pieces: list[bytes], ids: np.ndarray, n: np.ndarray) -> None:
-        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces)), strict=True))
-        self.new.append((ids, n))
+    def learn(self, pieces: list[bytes]) -> np.ndarray:
+        """Encode new pieces: words, which nothing splits, many in one text and told apart by their bytes; others one by one.
+
+        Returns their numbers.
+        """
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        word = np.zeros(len(pieces), bool)
+        if self.byte_level and pieces:
+            joined, at = b"".join(pieces), np.cumsum(size) - size
+            space = np.frombuffer(joined, np.uint8)[at] == ord(" ")
+            word = (np.add.reduceat(classes(joined) != LETTER, at, dtype=np.int64) == space) & (size > space)
+        words, others = np.flatnonzero(word), np.flatnonzero(~word)
+        flat, n = [self.flat], [self.n]
+        for low in range(0, len(words), 20_000):
+            some = words[low : low + 20_000]
+            raw = np.frombuffer(b"\n".join([pieces[i] for i in some.tolist()]), np.uint8)
+            ids = np.array(self.listed.encode_batch_fast([self.written[raw].tobytes().decode("utf-32-le")], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum(size[some])) + 1
+            flat.append(ids)
+            n.append(np.diff(ends, prepend=0))
+        each = self.ids([pieces[i].decode() for i in others.tolist()])
+        order, first = np.concatenate((words, others)), len(self.known)
+        self.known.update((pieces[k], first + i) for i, k in enumerate(order.tolist()))
+        self.flat, self.n = np.concatenate(flat + each), np.concatenate([*n, np.fromiter(map(len, each), np.int64, len(each))])
+        self.start, self.again = np.cumsum(self.n) - self.n, np.append(self.again, np.zeros(len(pieces), bool))
+        number = np.empty(len(pieces), np.int64)
+        number[order] = first + np.arange(len(pieces))
+        return number
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (binary, without nulls) joined, `end` after each, and how many each has with that."""
@@ -191,17 +223,13 @@ class Encoder:
         slices = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(np.append(cuts, len(raw)).astype(np.int64)), pa.py_buffer(raw)])
         table = slices.dictionary_encode()
         pieces = sliced(table.dictionary)
-        self.new: list[tuple[np.ndarray, np.ndarray]] = []
-        which = list(map(self.known.get, pieces))
+        which = np.fromiter(map(self.known.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
+        self.again[which[which >= 0]] = True
         if len(self.known) > PIECES:
-            which = self.forget(pieces, which)
-        self.learn([p for p, k in zip(pieces, which, strict=True) if k is None])
-        if self.new:
-            n = np.concatenate([x for _, x in self.new])
-            begin = len(self.flat) + np.cumsum(n) - n
-            self.flat, self.n, self.start = np.concatenate([self.flat, *(x for x, _ in self.new)]), np.concatenate((self.n, n)), np.concatenate((self.start, begin))
-        of = np.array([self.known[p] if k is None else k for p, k in zip(pieces, which, strict=True)], np.int64)
-        which = of[table.indices.to_numpy()]
+            which = self.forget(which)
+        new = np.flatnonzero(which < 0)
+        which[new] = self.learn([pieces[i] for i in new.tolist()])
+        which = which[table.indices.to_numpy()]
         n = self.n[which]
         upto = np.concatenate(([0], np.cumsum(n)))
         ends = upto[np.searchsorted(cuts, at[1:])]
