@@ -262,6 +262,16 @@ def prf_bm25(spark, sf_dir):
     return ranked(expand.run(stored_index(spark, sf_dir), fixed(spark), "prf+bm25"))
 
 
+@query(f"{RANKED} l", FIXED_SQL, query_terms_sql(), list_sql("tfidf", 10, "seeds"), PRF, more_terms_sql("prf"), list_sql("tfidf", 10, "l", "xterms", "prf+tfidf"))
+def prf_tfidf(spark, sf_dir):
+    return ranked(expand.run(stored_index(spark, sf_dir), fixed(spark), "prf+tfidf"))
+
+
+@query()
+def prf_lsi(spark, sf_dir):
+    return ranked(expand.run(stored_index(spark, sf_dir), fixed(spark), "prf+lsi", lsi=model(spark, sf_dir)))
+
+
 @query("SELECT qid, rank, term, round(weight, 6) AS weight FROM cooc", FIXED_SQL, query_terms_sql(), QDOCS, COOC)
 def cooc_expand(spark, sf_dir):
     return expand.cooccurring_terms(stored_index(spark, sf_dir), fixed(spark)).select("qid", "rank", "term", F.round("weight", 6).alias("weight"))
