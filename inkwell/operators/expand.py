@@ -18,8 +18,12 @@ def best_terms(weights: DataFrame, most: int) -> DataFrame:
 def feedback_terms(index: Index, queries: DataFrame, seeds: DataFrame, top_docs: int = 10, most: int = 5, beta: float = 0.8) -> DataFrame:
     """Rocchio weights beta * sum over the seed documents of idf (1 + ln tf) / documents, of terms not in the query."""
     seeds = seeds.where(F.col("rank") <= top_docs).select("qid", "doc_id")
+    few, postings = seeds.limit(rank.PUSHED + 1).collect(), index.postings
+    if len(few) <= rank.PUSHED:  # found once, and sent to the scan as a filter
+        seeds = seeds.sparkSession.createDataFrame(few, seeds.schema)
+        postings = postings.where(F.col("doc_id").isin(sorted({r["doc_id"] for r in few})))
     sizes = seeds.groupBy("qid").agg(F.count("*").alias("r"))
-    rows = index.postings.join(seeds.join(sizes, "qid"), "doc_id")
+    rows = postings.join(seeds.join(sizes, "qid"), "doc_id")
     rows = rows.join(query_terms(queries).select("qid", "term"), ["qid", "term"], "left_anti")
     rows = rows.join(index.terms.select("term", "df"), "term").crossJoin(F.broadcast(index.stats.select("n")))  # one row
     weight = F.lit(beta) * robertson(F.col("n"), F.col("df")) * log_tf(F.col("tf")) / F.col("r")

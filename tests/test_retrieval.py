@@ -232,6 +232,12 @@ def weights_squared(index):
     return sum(x["w"] ** 2 for x in weights(index).collect())
 
 
+def test_feedback_by_lsi_from_the_models_own_index(spark, tmp_path):
+    docs = spark.createDataFrame(TOY, "doc_id long, text string")
+    i, m = Index.build(docs, str(tmp_path / "i")), LSI.of_texts(docs, 2, str(tmp_path / "m"))
+    q = ask(spark, "a d", "zz")
+    assert scores(expand.run(m.index(docs), q, "prf+lsi", lsi=m)) == scores(expand.run(i, q, "prf+lsi", lsi=m)) != {}
+
 
 def test_nearest_by_products(spark):
     """Ties by id across parts, copies, a zero vector, and vectors that are no row of a matrix, as pair by pair."""
